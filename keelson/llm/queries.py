@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_trees, weak_rules
+from . import boosted_trees, simhash, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -18,8 +18,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_trees.score(docs, boosted_trees.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op7_simhash, op10_quality_rules)}
