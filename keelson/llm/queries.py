@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import boosted_trees, simhash, weak_rules
+from . import boosted_trees, fingerprint_index, simhash, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -18,6 +19,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_trees.score(docs, boosted_trees.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_index.dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("`in.doc_id`").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + j AS p FROM again, range(0, 20) r(j)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,4 +44,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op7_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_substring_dedup, op7_simhash, op10_quality_rules)}
