@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, fingerprint_index, simhash, weak_rules
+from . import boosted_trees, fingerprint_index, interleave, simhash, vector_packing, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return boosted_trees.score(docs, boosted_trees.train(docs, _table(spark, sf_dir, "labels")))
@@ -40,8 +45,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = interleave.interleave(_table(spark, sf_dir, "documents"), shards=16)
+    return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_substring_dedup, op7_simhash, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op7_simhash, op8_interleave, op10_quality_rules)
+}
