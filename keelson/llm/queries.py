@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, fingerprint_index, interleave, simhash, vector_packing, weak_rules
+from . import boosted_trees, fingerprint_index, interleave, piece_offsets, simhash, vector_packing, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -41,6 +41,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_offsets.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op7_simhash, op8_interleave, op10_quality_rules)
+    for f in (op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op10_quality_rules)
 }
