@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, fingerprint_index, interleave, piece_offsets, simhash, vector_packing, weak_rules
+from . import boosted_trees, fingerprint_index, interleave, mtree, piece_offsets, simhash, vector_packing, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -15,6 +15,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+ORACLE["op1_mtree_search"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024)
 
@@ -60,5 +75,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op10_quality_rules)
+    for f in (op1_mtree_search, op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op10_quality_rules)
 }
