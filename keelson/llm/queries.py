@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, fingerprint_index, interleave, mtree, piece_offsets, simhash, vector_packing, weak_rules
+from . import boosted_trees, fingerprint_index, interleave, license_templates, mtree, piece_offsets, simhash, vector_packing, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -69,11 +69,47 @@ def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.label(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_license_templates"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS res
+  FROM w
+),
+l AS (
+  SELECT *, list_concat(cc, list_concat(gpl, res)) AS a,
+    list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
+    list_filter([
+      CASE WHEN regexp_matches(t, ' licensed under the (terms of the )?apache license (version )?2 0 ') THEN 'apache-2.0' END,
+      CASE WHEN contains(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd' END,
+      CASE WHEN regexp_matches(t, ' licensed under (a )?cc by 4 0 ') THEN 'cc-by-4.0' END,
+      CASE WHEN regexp_matches(t, ' licensed under (a )?cc by nc 4 0 ') THEN 'cc-by-nc-4.0' END,
+      CASE WHEN regexp_matches(t, ' licensed under (a )?cc by sa 4 0 ') THEN 'cc-by-sa-4.0' END,
+      CASE WHEN regexp_matches(t, ' copyright (c )?([^ ]+ ){1,8}all rights reserved ') THEN 'copyright-notice' END,
+      CASE WHEN regexp_matches(t, ' (licensed|released|distributed) under the (terms of the )?gnu general public license (as published by the free software foundation either )?version 3 ') THEN 'gpl-3.0' END,
+      CASE WHEN regexp_matches(t, ' (licensed|released|distributed) under the (terms of the )?mit license ') THEN 'mit' END,
+      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of this ([^ ]+ ){1,2}and associated documentation files ') THEN 'mit-notice' END
+    ], lambda x: x IS NOT NULL) AS more
+  FROM p
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(a)::BIGINT AS n_base, (list_min(a) - 1)::BIGINT AS first_word, (list_max(a) - 1)::BIGINT AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_concat(base, more)), ',') AS labels,
+  (CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM l
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mtree_search, op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op10_quality_rules)
+    for f in (op1_mtree_search, op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op9_license_templates, op10_quality_rules)
 }
