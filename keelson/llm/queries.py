@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, fingerprint_index, interleave, license_templates, mtree, piece_offsets, simhash, vector_packing, weak_rules
+from . import boosted_trees, chat_windows, fingerprint_index, interleave, license_templates, mtree, piece_offsets, simhash, vector_packing, weak_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -56,6 +56,13 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_windows.read_back(chat_windows.windows(rows.unionByName(more)))
+
+
 def op6_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_offsets.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -111,5 +118,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mtree_search, op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op6_piece_offsets, op7_simhash, op8_interleave, op9_license_templates, op10_quality_rules)
+    for f in (op1_mtree_search, op2_vector_packing, op3_quality_classifier, op4_substring_dedup, op5_chat_windows, op6_piece_offsets, op7_simhash, op8_interleave, op9_license_templates, op10_quality_rules)
 }
