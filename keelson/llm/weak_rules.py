@@ -42,7 +42,7 @@ def _ratios(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 RULES = {
     "symbols": lambda r, n: (r["symbols"] > 0.15, r["symbols"] < 0.03),
     "repeats": lambda r, n: (r["repeats"] > 0.3, r["repeats"] < 0.1),
-    "dup_lines": lambda r, n: (r["dup_lines"] > 0.3, r["dup_lines"] < 0.05),
+    "dup_lines": lambda r, n: (r["dup_lines"] > 0.5, r["dup_lines"] < 0.05),
     "upper": lambda r, n: (r["upper"] > 0.4, r["upper"] < 0.15),
     "bangs": lambda r, n: (r["bangs"] > 0.1, r["bangs"] < 0.01),
     "length": lambda r, n: ((r["length"] < 2.5) | (r["length"] > 14), (r["length"] >= 3.5) & (r["length"] <= 10)),
@@ -68,22 +68,29 @@ def decode(code: np.ndarray, rules: int = len(RULES)) -> np.ndarray:
     return (np.asarray(code, dtype=np.int64)[:, None] // 3 ** np.arange(rules, dtype=np.int64)) % 3
 
 
-def fit(v: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def fit(v: np.ndarray, n: np.ndarray, rounds: int = 300, trust: float = 0.998, weight: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over patterns v seen n times.
 
     Documents are good (class 0) or bad in one of several ways, one way for each rule
     to start with: shouting and repeating are different faults, and one class for both
     would let the rules that see only one of them drown each other. Returns the share
-    of each class and table[class, rule, vote]: how often a rule gives each vote (none,
-    good, bad) there; a rule's accuracies are table[0, :, GOOD] and, in the bad
-    classes, table[1:, :, BAD]. The start doubts documents that some rule calls bad.
+    of each class and table[class, rule, vote]: how often a rule that votes there says
+    good or bad (not voting counts as no evidence, 1); a rule's accuracies are
+    table[0, :, GOOD] and, in the bad classes, table[1:, :, BAD]. The start doubts
+    documents that some rule calls bad. Votes alone cannot tell good documents on which a
+    rule errs from bad ones that only this rule sees; the prior settles it: on good documents
+    rules are right with probability `trust`, as if seen on `weight` of the corpus.
     """
     classes, cast = 1 + v.shape[1], np.stack([v == k for k in range(3)], axis=2).astype(float)
     bad = (v == BAD) / np.maximum((v == BAD).sum(1, keepdims=True), 1)
     p = np.where((v == BAD).any(1)[:, None], np.hstack([np.full((len(v), 1), 0.2), 0.8 * bad]), np.hstack([np.full((len(v), 1), 0.95), np.full(v.shape, 0.05 / v.shape[1])]))
     for _ in range(rounds):
         w = n[:, None] * p
-        table = (np.einsum("ik,irv->krv", w, cast) + 0.5) / (w.sum(0)[:, None, None] + 1.5)
+        table = np.einsum("ik,irv->krv", w, cast) + 0.5
+        table[0, :, GOOD] += trust * weight * n.sum()
+        table[0, :, BAD] += (1 - trust) * weight * n.sum()
+        table[:, :, NONE] = table[:, :, GOOD] + table[:, :, BAD]
+        table /= table[:, :, NONE, None]
         share = (w.sum(0) + 1) / (n.sum() + classes)
         p = _classes(v, share, table)
     return share, table
