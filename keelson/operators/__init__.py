@@ -1 +1 @@
-
+"""Operators over keyed tables and DataFrames."""
