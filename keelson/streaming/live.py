@@ -90,6 +90,9 @@ class Live:
         Compiler(new, verify=True)(self.node)
         change = Delta(old, new, changes)(self.node)
         held = self.rows()
+        if change is None:
+            row = F.struct(*(F.col(f"`{c}`") for c in held.columns))
+            change = held.limit(0).select(row.alias("prev"), row.alias("next"))
         change.write.mode("overwrite").parquet(self._at(to, "changes"))
         change = self.spark.read.parquet(self._at(to, "changes"))
         paths = key_paths(self.node)

@@ -1,0 +1,98 @@
+import pytest
+
+from keelson.errors import KeyClash
+from keelson.sources.outbox import DONE, STUCK, Outbox, active, backoff, owed, readable, stuck
+from keelson.sources.remote import FAILED, LOADING, PERMANENT, TEMPORARY, UNKNOWN, VALUE, Questions, Remote, RemoteSource, age_of, first_of, held_of, is_fresh, reconcile, status_of, together
+
+
+class Clock:
+    def __init__(self):
+        self.now, self.naps = 0.0, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, s):
+        self.naps.append(s)
+        self.now += s
+
+
+def test_retries_back_off_and_hold_the_last_good_value():
+    clock, answers = Clock(), iter([1, ValueError("a"), ValueError("b"), 2])
+
+    def load():
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    s = RemoteSource(load, retries=1, shelf_life=10, clock=clock, sleep=clock.sleep, jitter=lambda a, b: b)
+    assert s.get().held == 1 and s.get().held == 1 and s.tally.asked == 1
+    clock.now = 11
+    r = s.get()
+    assert (r.state, r.held, r.error) == (FAILED, 1, "b") and clock.naps == [1.0]
+    assert s.get().held == 2 and s.tally.published == 2
+    assert is_fresh(s.answer, clock.now, 5) and age_of(s.answer, clock.now + 3) == 3 and held_of(s.answer) == 2
+
+
+def test_permanent_refusals_are_not_repeated():
+    s = RemoteSource(lambda: 1 / 0, retries=5, classify=lambda e: PERMANENT)
+    assert s.get().kind == PERMANENT and s.tally.asked == 1
+
+
+def test_algebra_of_answers(spark):
+    a, b, bad, wait = Remote(VALUE, 1, 5.0), Remote(VALUE, 2, 3.0), Remote(FAILED, error="x"), Remote(LOADING)
+    assert together([a, b], lambda x, y: x + y) == Remote(VALUE, 3, 3.0)
+    assert together([a, wait, bad], max).state == FAILED and together([a, wait], max).state == LOADING
+    assert first_of([bad, wait, b]) == b and first_of([bad, wait]) == wait
+    df = spark.createDataFrame([("p", VALUE, 5.0), ("p", VALUE, 3.0), ("q", FAILED, 1.0)], "g string, state string, at double")
+    assert sorted(tuple(r) for r in status_of(df, "g").collect()) == [("p", True, 3.0), ("q", False, 1.0)]
+
+
+def test_questions_let_the_least_used_go():
+    asked = []
+    q = Questions(lambda k: asked.append(k) or k * 2, most=2)
+    assert [q[k].get().held for k in (1, 2, 1, 3, 1, 2)] == [2, 4, 2, 6, 2, 4] and asked == [1, 2, 3, 2]
+
+
+def test_reconcile_follows_the_latest_target():
+    targets, tried = iter([1, 2, 2, 2, 2]), []
+
+    def apply(x):
+        tried.append(x)
+        if len(tried) == 2:
+            raise OSError
+
+    assert reconcile(lambda: next(targets), apply, sleep=lambda s: None) and tried[-1] == 2
+    assert not reconcile(lambda: 1, lambda x: 1 / 0, attempts=2, sleep=lambda s: None)
+
+
+def test_outbox(spark):
+    sent, fail = [], {"b": TEMPORARY, "d": PERMANENT, "e": UNKNOWN}
+
+    def send(e):
+        if e.id in fail:
+            raise OSError(e.id)
+        sent.append(e.id)
+
+    box = Outbox(send, most=2, classify=lambda e: fail[str(e)], clock=lambda: 1.0)
+    for i, lane in (("a", "x"), ("b", "x"), ("c", "x"), ("d", "y"), ("e", "z"), ("a", "x")):
+        box.offer(i, lane, "call")
+    with pytest.raises(KeyClash):
+        box.offer("a", "other", "call")
+    for _ in range(4):
+        box.step()
+    assert sent == ["a"] and "d" not in box.book and box.book["b"].state == STUCK and box.book["e"].attempts == 0
+    df = box.frame(spark)
+    assert {r["id"] for r in owed(df).collect()} == {"b", "c", "e"} and [r["id"] for r in stuck(df).collect()] == ["b"] and {r["id"] for r in active(df).collect()} == {"c", "e"}
+    fail.clear()
+    box.retry("b")
+    box.step(), box.step()
+    assert sent == ["a", "b", "e", "c"] and all(e.state == DONE for e in box.book.values())
+    box.absorb(2.0)
+    assert not box.book and [backoff(k) for k in (0, 3, 9)] == [1.0, 8.0, 60.0]
+
+
+def test_kept_envelopes(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "b"), (2, 1.0, "c"), (2, 5.0, None)], "v int, at double, value string")
+    assert [r["value"] for r in readable(df, 2, 10.0, 6.0).collect()] == ["b"]
