@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "
         .collect()
     )
     found.sort(key=lambda r: (r["_id"], r["_y"], r["x"]))
-    x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), -1)
+    x = np.array([r["x"] for r in found], dtype=float)
     return fit(x, np.array([float(r["_y"] == 1) for r in found]))
 
 

@@ -12,7 +12,7 @@ Records are dealt to buckets as packed arrays. A bucket sorts its windows, merge
 them with the sorted immutable runs of earlier batches, verifies each match on a second,
 independent hash (116 bits in all), and sends back what to remove. Where runs
 are kept, the batch's new windows become a run, and runs of a bucket are compacted
-whenever more than `FAN` of them have gathered. A last pass meets the documents with
+whenever more than `fan` of them have gathered. A last pass meets the documents with
 their removals, block by block.
 
 Defined results: a null text has no words; texts of fewer than `size` words lose nothing; a
@@ -166,7 +166,7 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return k[new], c[new]
 
 
-def match(blobs: list[bytes], runs: list[tuple[np.ndarray, np.ndarray]], keep: bool):
+def match(blobs: list[bytes], runs: list[tuple[np.ndarray, np.ndarray]], keep: bool, fan: int = FAN):
     """Rows of one bucket: removals by block, and with `keep` the bucket's runs after this batch."""
     parts = [_unpack(x, "<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1", "u1", "u1") for x in blobs]
     ids, tags, blocks, times, key, place, offset, count, check = (np.concatenate([p[k] for p in parts]) for k in range(9)) if parts else [np.zeros(0, t) for t in ("<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1", "u1", "u1")]
@@ -200,11 +200,11 @@ def match(blobs: list[bytes], runs: list[tuple[np.ndarray, np.ndarray]], keep: b
         yield from _removals(ids, tags, blocks, doc, start, lambda block: 0)
     if keep:
         runs = sorted([*runs, (key[new], check[new])], key=lambda r: -len(r[0]))
-        for run in [merge(runs)] if len(runs) > FAN else runs:
+        for run in [merge(runs)] if len(runs) > fan else runs:
             yield 0, RUN, 0, _pack(*run)
 
 
-def _index(docs: DataFrame, shares: int, history: DataFrame | None, keep: bool, size: int) -> DataFrame:
+def _index(docs: DataFrame, shares: int, history: DataFrame | None, keep: bool, size: int, fan: int) -> DataFrame:
     """block (of documents, or bucket for runs), kind, blob."""
 
     def records(batches):
@@ -218,7 +218,7 @@ def _index(docs: DataFrame, shares: int, history: DataFrame | None, keep: bool,
         at = t.column("bucket")[0].as_py()
         pick = lambda k: [x for x, kind in zip(blobs, kinds) if kind == k]
         out = [(b, REMOVED, x) for b, x, kind in zip(blocks, blobs, kinds) if kind == REMOVED]
-        for _, kind, block, blob in match(pick(RECORDS), [tuple(_unpack(x, "<u8", "<u8")) for x in pick(RUN)], keep):
+        for _, kind, block, blob in match(pick(RECORDS), [tuple(_unpack(x, "<u8", "<u8")) for x in pick(RUN)], keep, fan):
             out.append((at if kind == RUN else block, kind, blob))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "kind", "blob"])
 
@@ -269,14 +269,14 @@ def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text:
     return plain.groupBy("block").cogroup(removals.groupBy("block")).applyInArrow(block, schema).withColumnsRenamed({f"_{i}": f"in.{c}" for i, c in enumerate(rest)})
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, history: DataFrame | None = None, runs_to: str | None = None, buckets: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, history: DataFrame | None = None, runs_to: str | None = None, buckets: int | None = None, fan: int = FAN) -> DataFrame:
     """Every row of docs with its other columns as `in.<name>`, and n_words, n_removed and kept (words joined by one space).
 
     history: runs (bucket, blob) that an earlier batch wrote to its `runs_to`; such batches
     must share `buckets`. runs_to: where this batch writes all runs that are then valid.
     """
     shares = buckets or shares_for(docs, text)
-    index = _index(docs.select(*_numbered(docs, shares, doc_id, text)), shares, history, runs_to is not None, size)
+    index = _index(docs.select(*_numbered(docs, shares, doc_id, text)), shares, history, runs_to is not None, size, fan)
     if runs_to is not None:
         index = cut(index)
         index.filter(F.col("kind") == RUN).select(F.col("block").alias("bucket"), "blob").write.mode("errorifexists").parquet(runs_to)
