@@ -1,9 +1,11 @@
 """A relation kept up to date: each micro-batch of source changes becomes a change of the answer.
 
-State lives as versioned Parquet under one folder: every source at the last version, the
-answer at every version. A batch is netted to one change a key, applied, pushed through the plan's change
-rules, and written as the next version; a version that exists already is not applied
-again, so a repeated batch after a failure changes nothing twice.
+Every source and the answer is a log of changes over a base below one folder, so a batch
+reads what the change rules need and writes only what changed; logs are compacted now and then. A
+batch is netted to one change a key, applied, pushed through the plan's change rules,
+and counts once its commit is written. A relation opened on a folder goes on from the last
+commit, and a streaming batch that was committed already is passed by, so a repeated
+batch after a failure changes nothing twice.
 """
 
 from __future__ import annotations
@@ -21,10 +23,17 @@ from keelson.plans.check import check
 from keelson.plans.compile import Compiler, compile_plan
 from keelson.plans.nodes import Node, Source, fill, inputs, key_paths
 
-from .delta import Delta, netted
+from .delta import Delta, differing, netted
+from .versions import Versions
 
 #: Versions of changes that followers can still ask for.
 KEEP = 64
+ANSWER = ""
+COMMIT = "version int, changed array<string>, compacted array<string>, checkpoint string, batch long"
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
 def _source_keys(node: Node) -> dict[str, tuple[str, ...]]:
@@ -40,97 +49,93 @@ class Live:
         self.spark, self.node, self.folder = spark, fill(check(node), values or {}), folder
         self.keys = _source_keys(self.node)
         self.schemas = {k: T.StructType.fromDDL(s) if isinstance(s, str) else s for k, s in schemas.items()}
-        self.version = 0
-        self._write("0", self.answer_schema_rows())
-        for name in self.keys:
-            spark.createDataFrame([], self.schemas[name]).write.mode("overwrite").parquet(self._at("0", f"source-{name}"))
-
-    def _at(self, version, what: str) -> str:
-        return f"{self.folder}/{version}/{what}"
-
-    def answer_schema_rows(self) -> DataFrame:
-        return compile_plan(self.node, {n: self.spark.createDataFrame([], self.schemas[n]) for n in self.keys})
-
-    def _write(self, version, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._at(version, "answer"))
+        empty = {n: spark.createDataFrame([], self.schemas[n]) for n in self.keys}
+        answer = compile_plan(self.node, empty).schema
+        self.logs = {n: Versions(spark, f"{folder}/source-{n}", self.schemas[n], [(k,) for k in self.keys[n]]) for n in self.keys}
+        self.logs[ANSWER] = Versions(spark, f"{folder}/answer", _nullable(answer), key_paths(self.node))
+        self.version, self.seen = 0, set()
+        if not self._restore():
+            for log in self.logs.values():
+                log.start()
+            self._commit([], [], "", -1)
+
+    def _restore(self) -> bool:
+        """Take up the commits of the folder, if there are any."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+        for r in self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits").orderBy("version").collect():
+            self.version = r["version"]
+            self.seen.add((r["checkpoint"], r["batch"]))
+            for kind, names in (("changed", r["changed"]), ("bases", r["compacted"])):
+                for name in names:
+                    getattr(self.logs[name], kind).append(r["version"])
+        return True
+
+    def _commit(self, changed: list[str], compacted: list[str], checkpoint: str, batch: int) -> None:
+        self.spark.createDataFrame([(self.version, changed, compacted, checkpoint, batch)], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        self.seen.add((checkpoint, batch))
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
-        v = self.version if version is None else version
-        return {n: self.spark.read.schema(self.schemas[n]).parquet(self._at(v, f"source-{n}")) for n in self.keys}
+        return {n: self.logs[n].at(self.version if version is None else version) for n in self.keys}
 
     def rows(self, version: int | None = None) -> DataFrame:
         """The answer at a version, the last one by default."""
-        return self.spark.read.parquet(self._at(self.version if version is None else version, "answer"))
+        return self.logs[ANSWER].at(self.version if version is None else version)
 
     def changes_since(self, version: int) -> DataFrame | None:
-        """version, prev, next of all later changes in order; None if they are forgotten and a snapshot is needed."""
+        """version, prev, next of all later changes; None if they are forgotten and a snapshot is needed."""
         if version > self.version or self.version - version > KEEP:
             return None
-        out = self.spark.read.parquet(self._at(0, "answer")).limit(0)
-        row = F.struct(*(F.col(f"`{c}`") for c in out.columns))
-        frames = [self.spark.read.parquet(self._at(v, "changes")).withColumn("version", F.lit(v)) for v in range(version + 1, self.version + 1)]
-        found = out.select(row.alias("prev"), row.alias("next"), F.lit(0).alias("version"))
-        for f in frames:
-            found = found.unionByName(f)
+        found = self.logs[ANSWER].change(0).withColumn("version", F.lit(0))
+        for v in range(version + 1, self.version + 1):
+            found = found.unionByName(self.logs[ANSWER].change(v).withColumn("version", F.lit(v)))
         return found.select("version", "prev", "next")
 
-    def apply(self, patches: Mapping[str, tuple[DataFrame | None, DataFrame | None]]) -> DataFrame:
+    def apply(self, patches: Mapping[str, tuple[DataFrame | None, DataFrame | None]], checkpoint: str = "", batch: int = -1) -> DataFrame:
         """Apply (rows to put, keys to drop) to sources as one version; gives the change of the answer."""
-        old = self.tables()
-        new, changes, to = dict(old), {}, self.version + 1
+        old, to = self.tables(), self.version + 1
+        new, changes = dict(old), {}
         for name, (put, drop) in patches.items():
             before = Keyed(old[name], self.keys[name])
             after = before.apply(None if put is None else put.select(*old[name].columns), drop)
-            after.df.write.mode("overwrite").parquet(self._at(to, f"source-{name}"))
-            new[name] = self.spark.read.schema(self.schemas[name]).parquet(self._at(to, f"source-{name}"))
-            changes[name] = before.changes_to(Keyed(new[name], self.keys[name]))
-        for name in self.keys:
-            if name not in patches:
-                old[name].write.mode("overwrite").parquet(self._at(to, f"source-{name}"))
+            self.logs[name].add(to, before.changes_to(after))
+            changes[name], new[name] = self.logs[name].change(to), self.logs[name].at(to)
         Compiler(new, verify=True)(self.node)
-        change = Delta(old, new, changes)(self.node)
-        held = self.rows()
-        if change is None:
-            row = F.struct(*(F.col(f"`{c}`") for c in held.columns))
-            change = held.limit(0).select(row.alias("prev"), row.alias("next"))
-        change.write.mode("overwrite").parquet(self._at(to, "changes"))
-        change = self.spark.read.parquet(self._at(to, "changes"))
-        paths = key_paths(self.node)
-        from keelson.functions.folds import key_text
-
-        gone = change.filter(F.col("prev").isNotNull()).select("prev.*")
-        gone = gone.select(key_text(gone.schema, paths).alias("_gone"))
-        kept = held.join(gone, key_text(held.schema, paths) == F.col("_gone"), "left_anti")
-        self._write(to, kept.unionByName(change.filter(F.col("next").isNotNull()).select("next.*")))
+        return self._advance(to, Delta(old, new, changes)(self.node), list(patches), checkpoint, batch)
+
+    def _advance(self, to: int, change: DataFrame | None, changed: list[str], checkpoint: str, batch: int) -> DataFrame:
+        if change is not None:
+            self.logs[ANSWER].add(to, change)
+            changed = [*changed, ANSWER]
+        compacted = [n for n in changed if self.logs[n].compact(to)]
         self.version = to
-        return change
+        self._commit(changed, compacted, checkpoint, batch)
+        return self.logs[ANSWER].change(to)
 
     def retune(self, values: Mapping[str, Any], node: Node) -> DataFrame:
         """Another choice of holes: the answer is rebuilt and the difference to the held one given."""
-        from .delta import differing
-
         self.node = fill(check(node), values)
-        fresh = compile_plan(self.node, self.tables())
-        change = differing(self.rows(), fresh, self.node)
-        to = self.version + 1
-        change.write.mode("overwrite").parquet(self._at(to, "changes"))
-        for name, df in self.tables().items():
-            df.write.mode("overwrite").parquet(self._at(to, f"source-{name}"))
-        self._write(to, fresh)
-        self.version = to
-        return self.spark.read.parquet(self._at(to, "changes"))
+        return self._advance(self.version + 1, differing(self.rows(), compile_plan(self.node, self.tables()), self.node), [], "", -1)
+
+    def forget(self) -> None:
+        """Delete files that only versions older than the last KEEP need."""
+        for log in self.logs.values():
+            log.forget(max(0, self.version - KEEP))
 
     def follow(self, stream: DataFrame, source: str, checkpoint: str, available_now: bool = True):
         """Start a StreamingQuery over change rows (kind put or drop, seq, and the source's fields) of one source."""
         columns, key = self.schemas[source].names, list(self.keys[source])
 
-        def batch(rows: DataFrame, _: int) -> None:
+        def batch(rows: DataFrame, number: int) -> None:
+            if (checkpoint, number) in self.seen:
+                return
             row = F.struct(*(F.col(f"`{c}`") for c in columns))
             # The last change of each key in the batch decides; a put after a drop stays.
             last = rows.withColumn("_r", row).groupBy(*key).agg(F.max_by(F.struct("kind", "_r"), "seq").alias("_l"))
             put = last.filter("_l.kind = 'put'").select("_l._r.*")
             drop = last.filter("_l.kind = 'drop'").select(*key)
-            self.apply({source: (put, drop)})
+            self.apply({source: (put, drop)}, checkpoint, number)
 
         writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from keelson.functions.folds import Collect, Count, Max, Sum, up
 from keelson.plans.builder import from_
 from keelson.plans.compile import compile_plan
 from keelson.streaming.delta import netted
+from keelson.streaming import live as live_module
 from keelson.streaming.live import Live, window_changes
+from keelson.streaming.versions import Versions
 
 SCHEMAS = {"orders": "id long, client long, sum double", "clients": "id long, tier string", "extra": "id long, client long, sum double", "docs": "id long, title string, links array<struct<to:long,weight:long>>"}
 ORDERS, CLIENTS = from_("orders", "id"), from_("clients", "id")
@@ -74,6 +77,29 @@ def test_a_stream_of_changes_is_followed(spark, tmp_path):
     q = live.follow(spark.readStream.schema(ddl).parquet(feed), "orders", str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
     assert sorted((r["client"], r["total"]) for r in live.rows().collect()) == [(7, 30.0), (9, 60.0)]
+    again = Live(spark, PLANS["agg"].tree(), SCHEMAS, str(tmp_path / "live"))
+    assert again.version == live.version == 1 and again.rows().count() == 2
+    q = again.follow(spark.readStream.schema(ddl).parquet(feed), "orders", str(tmp_path / "checkpoint"))
+    q.awaitTermination(120)
+    assert again.version == 1
+    shutil.rmtree(tmp_path / "checkpoint")  # the batch comes again under its number, as after a failure
+    q = again.follow(spark.readStream.schema(ddl).parquet(feed), "orders", str(tmp_path / "checkpoint"))
+    q.awaitTermination(120)
+    assert again.version == 1 and again.rows().count() == 2
+
+
+def test_logs_are_compacted_and_forgotten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Versions.compact, "__defaults__", (2,))
+    monkeypatch.setattr(live_module, "KEEP", 2)
+    live = Live(spark, ORDERS.filter(field("sum") > 1).tree(), SCHEMAS, str(tmp_path))
+    for k in range(6):
+        live.apply({"orders": (spark.createDataFrame([(k, 1, 9.0), (0, 1, float(k))], SCHEMAS["orders"]).filter(f"id = {k} or id = 0").dropDuplicates(["id"]), None)})
+    log = live.logs["orders"]
+    assert len(log.bases) > 1 and live.rows(6).count() == 6 and live.rows(4).count() == 4
+    live.forget()
+    assert sorted(r["id"] for r in live.rows().collect()) == [0, 1, 2, 3, 4, 5] and min(log.bases) > 0 and live.rows(4).count() == 4
+    assert live.changes_since(3) is None and live.changes_since(4) is not None
+    assert Live(spark, ORDERS.filter(field("sum") > 1).tree(), SCHEMAS, str(tmp_path)).rows().count() == 6
 
 
 def test_netting(spark):
