@@ -208,7 +208,7 @@ def _index(docs: DataFrame, shares: int, history: DataFrame | None, keep: bool,
     """block (of documents, or bucket for runs), kind, blob."""
 
     def records(batches):
-        for b in in_slices(batches, "t", 8 << 20, 1 << 16):
+        for b in in_slices(batches, "t", 4 << 20, 1 << 16):
             ids = np.array([_ID if x is None else x for x in b.column("id").to_pylist()], dtype=np.int64)
             rows = [(x[0], x[1], x[2] if len(x) == 4 else 0, x[-1]) for x in scan(as_bytes(b.column("t")), ids, *(b.column(c).to_numpy() for c in ("tag", "block")), shares, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "blob"])
