@@ -11,6 +11,7 @@ from keelson.functions.expr import Cmp, Expr, Lit, compile_expr, condition, fiel
 from keelson.functions.folds import Fold, Min, Order, compile_fold, order_of
 
 from .keyed import Keyed
+from .running import ordered_pass
 
 
 def has(name: str, value) -> Expr:
@@ -37,7 +38,12 @@ class Ordered:
         return self.rows().limit(end).offset(start) if end > start else self.table.df.limit(0)
 
     def placed(self) -> DataFrame:
-        return self.table.df.withColumn("place", F.row_number().over(Window.orderBy(*self._sort())) - 1)
+        """Every row with its place from 0."""
+        return self._pass(None, place="place")
+
+    def _pass(self, step: Column | None, **names: str) -> DataFrame:
+        fields = [(resolve(self.table.df.schema, o.path)[0], o.down) for o in self.by]
+        return ordered_pass(self.table.df, fields, [F.col(f"`{k}`") for k in self.table.key], step, **names)
 
     def rank(self, *key) -> DataFrame:
         """The place of one key, -1 if it is not there: a count of the rows ahead of it, without sorting them."""
@@ -65,8 +71,10 @@ def list_of(table: Keyed, where: Expr | None = None, order=(), window: tuple[int
 def lists_by(table: Keyed, name: str, order=(), window: tuple[int, int] | None = None) -> DataFrame:
     """The first rows of the list of every value of a field, with `place` in it."""
     sort = Ordered(table, *order)._sort()
-    out = table.df.withColumn("place", F.row_number().over(Window.partitionBy(f"`{name}`").orderBy(*sort)) - 1)
-    return out if window is None else out.filter((F.col("place") >= max(window[0], 0)) & (F.col("place") < window[1]))
+    out = table.df.withColumn("_n", F.row_number().over(Window.partitionBy(f"`{name}`").orderBy(*sort)))
+    if window is not None:  # on the row number itself, so that each task keeps only the first rows of a value
+        out = out.filter((F.col("_n") <= window[1]) & (F.col("_n") > max(window[0], 0)))
+    return out.withColumn("place", F.col("_n") - 1).drop("_n")
 
 
 def list_for(table: Keyed, name: str, value, order=(), window: tuple[int, int] | None = None) -> DataFrame:
@@ -100,10 +108,8 @@ def shape(**parts: DataFrame) -> dict[str, DataFrame]:
 
 def offsets(table: Keyed, measure: Expr, *by: Order) -> DataFrame:
     """The line of a table: each row with its place, its measure and the sum ahead of it."""
-    view = Ordered(table, *by)
     size = F.coalesce(compile_expr(measure, table.df.schema).cast("double"), F.lit(0.0))
-    line = Window.orderBy(*view._sort())
-    return table.df.withColumns({"place": F.row_number().over(line) - 1, "measure": size, "offset": F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size})
+    return Ordered(table, *by)._pass(size, before="offset", place="place").withColumn("measure", size)
 
 
 def blocks(df: DataFrame, line: str, at: str, fold: Column, span: int = 32) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.errors import KeyClash, PlanError
 from keelson.functions.expr import compile_expr, compile_typed, condition, field, kind_of, resolve, truthy
 from keelson.functions.folds import compile_fold, key_text
-from keelson.operators.running import running_sum
+from keelson.operators.running import ordered_pass, running_sum
 
 from .check import check
 from .nodes import Agg, Expand, Filter, Join, Node, Pure, Scan, Source, Union, fill, key_paths, params
@@ -126,11 +126,11 @@ class Ordering:
 
     def __init__(self, scan: Scan, tables: Mapping[str, DataFrame]):
         self.start = scan.start
-        scan = Scan(scan.input, scan.order, scan.step, scan.name or "_before", scan.through or "_after", scan.start)
-        df = Compiler(tables)(scan)
-        order = [F.asc(compile_expr(field(*o.path), df.schema)) if not o.down else F.desc(compile_expr(field(*o.path), df.schema)) for o in scan.order]
-        place = F.row_number().over(Window.orderBy(*order, F.asc("_key"))) - 1
-        self.rows = df.withColumn("_key", key_column(df, scan.input)).select(place.alias("place"), F.col("_key").alias("key"), F.col(scan.name).alias("offset"), F.col(scan.through).alias("end"))
+        df = Compiler(tables)(scan.input)
+        df = df.withColumn("_key", key_column(df, scan.input))
+        order = [(compile_expr(field(*o.path), df.schema), o.down) for o in scan.order]
+        passed = ordered_pass(df, order, [F.col("_key")], compile_expr(scan.step, df.schema), "_ahead", "_upto", "_place", scan.start)
+        self.rows = passed.select(F.col("_place").alias("place"), F.col("_key").alias("key"), F.col("_ahead").alias("offset"), F.col("_upto").alias("end"))
 
     def offset_at(self, place: int) -> DataFrame:
         return self.rows.filter(F.col("place") == place).select("offset")

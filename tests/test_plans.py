@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from keelson.errors import KeyClash, PlanError
 from keelson.functions.expr import field, lit, param
 from keelson.functions.folds import Collect, Count, Custom, Max, Min, Sum, down, up
-from keelson.operators.running import running_sum
+from keelson.operators.running import ordered_pass, running_sum
 from keelson.plans.builder import Cell, from_
 from keelson.plans.check import canon, check
 from keelson.plans.compile import Ordering, compile_plan
@@ -91,6 +91,13 @@ def test_running_sums_break_ties_by_key_as_text(spark, two):
     assert out.columns == ["id", "rank", "h", "b", "t"]
 
 
+def test_places_in_two_phases(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 g", "id * 13 % 1000 v")
+    one, two = (ordered_pass(df, [(F.col("g"), True), (F.col("v"), False)], [F.col("id")], F.col("v"), "b", "t", "p", 3, two_phases=k) for k in (False, True))
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, two.collect())) and sorted(r[-1] for r in rows) == list(range(1000))
+
+
 def test_a_filter_over_a_scan_sees_the_whole_pass(tables):
     q = ORDERS.scan(up("sum"), "sum", as_="b").filter(field("sum") > 10)
     assert got(q, tables, "id", "b") == [(10, 26.0), (2, 6.0)]
