@@ -192,7 +192,7 @@ def agg_collect_key_text(t):
 
 @query("SELECT o_orderstatus, bit_xor(o_orderkey) AS mark FROM orders GROUP BY 1")
 def agg_custom(t):
-    fold = Custom(F.lit(0).cast("long"), lambda held, row: held.bitwiseXOR(row["o_orderkey"]))
+    fold = Custom(F.lit(0).cast("long"), lambda held, row: held.bitwiseXOR(row["o_orderkey"]), join=lambda a, b: a.bitwiseXOR(b))
     return ORDERS.groupBy("o_orderstatus", mark=fold).batch(t)
 
 

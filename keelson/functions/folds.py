@@ -65,7 +65,11 @@ class Collect:
 
 @dataclass(frozen=True)
 class Custom:
-    """A left fold in the order of the key as text: add(held, row) gives the next held."""
+    """A left fold in the order of the key as text: add(held, row) gives the next held.
+
+    join(a, b) makes one answer of the answers over two neighbouring stretches and must be
+    associative; with it a large group is folded stretch by stretch in many tasks.
+    """
 
     zero: Column
     add: Callable[[Column, Column], Column]
@@ -125,3 +129,29 @@ def compile_fold(fold: Fold, schema: T.StructType, keys: list[tuple[str, ...]])
     listed = F.collect_list(F.struct(*fields, key_text(schema, keys).alias("k"), value.alias("v")))
     falling = any(o.down for o in fold.by)
     return F.transform(F.array_sort(listed, _comparator([*order, ("k", False)])) if falling else F.array_sort(listed), lambda x: x["v"])
+
+
+def partial_fold(fold: Fold, schema: T.StructType, keys: list[tuple[str, ...]], stretch: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A fold in two phases: its column over one stretch of a group, and what makes the answer of such columns.
+
+    Stretches follow each other in the order of the key as text and of the column `stretch`.
+    """
+    whole = compile_fold(fold, schema, keys)
+    match fold:
+        case Count() | Sum():
+            return whole, lambda part: F.coalesce(F.sum(part), F.lit(0)).cast("long" if isinstance(fold, Count) else "double")
+        case Min():
+            return whole, F.min
+        case Max():
+            return whole, F.max
+        case Custom(join=join) if join is not None:
+            parts = lambda part: F.transform(F.array_sort(F.collect_list(F.struct(F.col(stretch).alias("at"), part.alias("v")))), lambda x: x["v"])
+            joined = lambda p: F.when(F.size(p) == 0, fold.zero).otherwise(F.aggregate(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), F.get(p, F.lit(0)), join))
+            return whole, lambda part: joined(parts(part))
+    raise ValueError(f"{type(fold).__name__} needs all rows of a group at once")
+
+
+def in_stretches(folds: list[Fold]) -> bool:
+    """Whether some fold gathers the rows of a group and all can be worked out stretch by stretch."""
+    gathers = [isinstance(f, (Collect, Custom)) for f in folds]
+    return any(gathers) and all(isinstance(f, Custom) and f.join is not None for f, g in zip(folds, gathers) if g)

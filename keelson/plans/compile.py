@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from keelson.errors import KeyClash, PlanError
 from keelson.functions.expr import compile_expr, compile_typed, condition, field, kind_of, resolve, truthy
-from keelson.functions.folds import compile_fold, key_text
-from keelson.operators.running import ordered_pass, running_sum
+from keelson.functions.folds import compile_fold, in_stretches, key_text, partial_fold
+from keelson.operators.running import TWO_PHASES, estimated_bytes, ordered_pass, running_sum
 
 from .check import check
 from .nodes import Agg, Expand, Filter, Join, Node, Pure, Scan, Source, Union, fill, key_paths, params
@@ -34,8 +34,8 @@ def repeated_keys(df: DataFrame, node: Node) -> DataFrame:
 class Compiler:
     """Compiles nodes over named tables. verify: also look for keys that meet where they must not (one job each)."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], verify: bool = False):
-        self.tables, self.verify = tables, verify
+    def __init__(self, tables: Mapping[str, DataFrame], verify: bool = False, two_phases: bool | None = None):
+        self.tables, self.verify, self.two_phases = tables, verify, two_phases
 
     def __call__(self, node: Node) -> DataFrame:
         return getattr(self, type(node).__name__.lower())(node)
@@ -77,9 +77,22 @@ class Compiler:
         df = self(n.input)
         for b in n.by:
             resolve(df.schema, (b,))
+        if in_stretches([f for _, f in n.folds]) and (estimated_bytes(df) > TWO_PHASES if self.two_phases is None else self.two_phases):
+            return self._stretched(n, df)
         folds = [compile_fold(f, df.schema, key_paths(n.input)).alias(k) for k, f in n.folds]
         return df.groupBy(*(F.col(f"`{b}`") for b in n.by)).agg(*folds) if n.by else df.agg(*folds)
 
+    def _stretched(self, n: Agg, df: DataFrame) -> DataFrame:
+        """Groups in two phases: ranges of (group, key) are folded on their own and joined in order, so that no task gathers a whole group."""
+        keys = key_paths(n.input)
+        key = key_column(df, n.input)
+        by = [F.col(f"`{b}`") for b in n.by]
+        folds = {k: partial_fold(f, df.schema, keys, "_stretch") for k, f in n.folds}
+        dealt = df.repartitionByRange(*by, key).withColumn("_stretch", F.spark_partition_id())
+        parts = dealt.groupBy(*by, "_stretch").agg(*(part.alias(k) for k, (part, _) in folds.items()))
+        whole = [merge(F.col(f"`{k}`")).alias(k) for k, (_, merge) in folds.items()]
+        return parts.groupBy(*by).agg(*whole) if n.by else parts.agg(*whole)
+
     def union(self, n: Union) -> DataFrame:
         left, right = self(n.left), self(n.right)
         if self.verify:

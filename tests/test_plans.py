@@ -7,7 +7,7 @@ from keelson.functions.folds import Collect, Count, Custom, Max, Min, Sum, down,
 from keelson.operators.running import ordered_pass, running_sum
 from keelson.plans.builder import Cell, from_
 from keelson.plans.check import canon, check
-from keelson.plans.compile import Ordering, compile_plan
+from keelson.plans.compile import Compiler, Ordering, compile_plan
 from keelson.plans.nodes import Agg, Expand, Filter, Join, Pure, Scan, Source, Union, fill, key_paths, params
 from keelson.plans.why import why
 
@@ -168,3 +168,27 @@ def test_why(tables):
     assert back(ORDERS.fold(n=Count()), "[]") == [("orders", "1"), ("orders", "10"), ("orders", "2"), ("orders", "3")]
     assert back(from_("docs", "id").expand("links", "l", "to"), "[1,2]") == [("docs", "1")]
     assert back(ORDERS.union(from_("none", "id")).scan(up("sum"), "sum", as_="b"), "2") == [("orders", "2")]
+
+
+def _joined_fold():
+    """Keys in order; only an ordered, associative join gives the same text."""
+    return Custom(F.lit(""), lambda held, row: F.concat(held, row["id"].cast("string"), F.lit(";")), join=lambda a, b: F.concat(a, b))
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_large_groups_are_folded_in_stretches(spark, by):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, 1).otherwise(2).alias("g"), (F.col("id") % 11).cast("double").alias("v"))
+    folds = {"n": Count(), "s": Sum(field("v")), "low": Min(field("v")), "high": Max(field("v")), "ids": _joined_fold()}
+    node = (from_("t", "id").groupBy(by, **folds) if by else from_("t", "id").fold(**folds)).tree()
+    whole, split = (Compiler({"t": rows}, two_phases=two)(node) for two in (False, True))
+    assert whole.dtypes == split.dtypes
+    assert sorted(map(str, whole.collect())) == sorted(map(str, split.collect()))
+    assert "rangepartitioning" in split._jdf.queryExecution().toString()
+
+
+def test_stretches_of_nothing(spark):
+    empty = spark.range(0).withColumn("v", F.lit(1.0))
+    q = from_("t", "id").fold(n=Count(), s=Sum(field("v")), high=Max(field("v")), ids=_joined_fold())
+    assert [tuple(r) for r in Compiler({"t": empty}, two_phases=True)(q.tree()).collect()] == [(0, 0.0, None, "")]
+    lone = Compiler({"t": empty}, two_phases=True)(from_("t", "id").fold(ids=Collect()).tree())
+    assert lone.first()["ids"] == []
