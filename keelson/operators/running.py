@@ -15,8 +15,8 @@ TWO_PHASES = 256 << 20
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder, which is set only where the cluster names none."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
     return df.checkpoint()
 
 

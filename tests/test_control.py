@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 
@@ -97,3 +101,25 @@ def test_kept_values(spark, tmp_path):
     assert k.load(8.0) == "A"
     Kept(spark, str(tmp_path / "k"), version=0).save("z", 5.0)
     assert k.load(8.0) is None
+
+
+def test_the_package_reaches_workers_that_start_elsewhere(tmp_path):
+    """A session started away from the repository, as on a cluster, still runs Python code of the package."""
+    root = Path(__file__).parent.parent
+    script = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from keelson.shipping import ship\n"
+        "from keelson.errors import PlanError\n"
+        "ship(spark); ship(spark)\n"
+        "def name(batches):\n"
+        "    import keelson.errors\n"
+        "    for b in batches:\n"
+        "        keelson.errors.PlanError\n"
+        "        yield b\n"
+        "print('rows', spark.range(3).mapInArrow(name, 'id long').count(), PlanError.__name__)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 3 PlanError" in done.stdout, done.stderr[-2000:]
