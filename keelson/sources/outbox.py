@@ -59,6 +59,23 @@ class Outbox:
     classify: Callable[[Exception], str] = lambda e: TEMPORARY
     clock: Callable[[], float] = time.time
     book: dict[str, Entry] = field(default_factory=dict)
+    #: The last entry that was refused for good, with its error.
+    refused: Entry | None = None
+    paused: bool = False
+
+    def pause(self) -> None:
+        """Hold the book: entries may still be offered, and none is sent."""
+        self.paused = True
+
+    def resume(self) -> int:
+        """Send again, beginning with one step."""
+        self.paused = False
+        return self.step()
+
+    def pending(self, pick: Callable[[Entry], str | None]) -> set[str]:
+        """The subjects, as `pick` names them, that something is still owed for."""
+        named = (pick(e) for e in self.book.values() if e.state != DONE)
+        return {name for name in named if name is not None}
 
     def offer(self, ident: str, lane: str, name: str, args: Any = None) -> None:
         if ident in self.book:
@@ -70,6 +87,8 @@ class Outbox:
     def step(self) -> int:
         """Try the head of every lane once; gives how many went through."""
         sent, seen = 0, set()
+        if self.paused:
+            return sent
         for e in list(self.book.values()):
             if e.state == DONE or e.lane in seen:
                 continue
@@ -83,6 +102,7 @@ class Outbox:
                 kind = self.classify(err)
                 if kind == PERMANENT:
                     del self.book[e.id]
+                    self.refused = replace(e, error=str(err))
                 else:
                     tries = e.attempts + (kind != UNKNOWN)
                     self.book[e.id] = replace(e, state=STUCK if tries >= self.most else WAITING, attempts=tries, error=str(err))

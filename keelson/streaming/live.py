@@ -123,8 +123,11 @@ class Live:
         for log in self.logs.values():
             log.forget(max(0, self.version - KEEP))
 
-    def follow(self, stream: DataFrame, source: str, checkpoint: str, available_now: bool = True):
-        """Start a StreamingQuery over change rows (kind put or drop, seq, and the source's fields) of one source."""
+    def follow(self, stream: DataFrame, source: str, checkpoint: str, available_now: bool = True, every: str | None = None):
+        """Start a StreamingQuery over change rows (kind put or drop, seq, and the source's fields) of one source.
+
+        It ends when what there is has been read (available_now), or runs on, at most once in `every` ("2 seconds").
+        """
         columns, key = self.schemas[source].names, list(self.keys[source])
 
         def batch(rows: DataFrame, number: int) -> None:
@@ -138,6 +141,8 @@ class Live:
             self.apply({source: (put, drop)}, checkpoint, number)
 
         writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        if every is not None:
+            return writer.trigger(processingTime=every).start()
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
