@@ -18,6 +18,7 @@ are packed as rows of their own; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -41,6 +42,11 @@ def _byte_letters() -> dict[str, int]:
 
 # Fixed value: the pattern that byte-level vocabularies of this kind split by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters that Unicode calls white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# End of fixed values.
+#: White runs of this many characters or more are cut out ahead of the pattern.
+LONG = 4096
 
 
 @lru_cache(maxsize=4)
@@ -65,13 +71,39 @@ def encoder(path: str):
         letters, special = _byte_letters(), {t["content"]: t["id"] for t in d.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
         own = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: own.encode_to_numpy(text, allowed_special="all")
+
+        def ids(text: str) -> np.ndarray:
+            parts = [np.array(own._encode_single_piece(t), dtype=np.uint32) if alone else own.encode_to_numpy(t, allowed_special="all") for t, alone in spaced(text, tuple(special), LONG)]
+            return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+
+        return ids
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(path)
     return lambda text: np.array(other.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+def spaced(text: str, special: tuple[str, ...], long: int):
+    """Parts of a text to encode on their own, and whether a part is one whole word of white space.
+
+    The pattern's look-ahead holds every character of a white run on its stack, so runs of `long` characters
+    or more are cut out as it would cut them: all of a run but its last character, which may open the next
+    word; a run ahead of a special token or at the end of the text is whole.
+    """
+    at = 0
+    for run in re.finditer(f"[{WHITE}]{{{long},}}", text) if len(text) >= long else ():
+        end = run.end()
+        if end < len(text) and not text.startswith(special, end):
+            end -= 1
+        if run.start() > at:
+            yield text[at : run.start()], False
+        if end > run.start():
+            yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def cuts(n: int, most: int) -> list[int]:
     """Where the pieces of n tokens begin: a shorter one first, then full ones."""
     head = (n - 1) % most + 1

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -98,3 +99,19 @@ def test_interleaving_equals_a_plain_sort(spark, monkeypatch):
 def test_one_source_and_fewer_rows_than_shards(spark):
     got = interleave.interleave(docs(spark, ROWS[:3]), shards=16).toPandas()
     assert len(got) == 3 and got.shard.is_unique and (got.slot == 0).all()
+
+
+@pytest.mark.parametrize("long", [1, 2, 3, 4096])
+def test_white_runs_are_cut_as_the_pattern_cuts_them(monkeypatch, long):
+    monkeypatch.setattr(vector_packing, "LONG", long)
+    ids_of, library, rng = vector_packing.encoder(PATH), Tokenizer.from_file(PATH), random.Random(long)
+    bits = [" ", "  ", "\n", "\t", "a", "the", ".", "7", "　", "\x1c", "\x85", "\xa0", "'s", "<|endoftext|>"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert ids_of(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_very_long_white_runs():
+    ids_of, library = vector_packing.encoder(PATH), Tokenizer.from_file(PATH)
+    for text in (" " * 300_000, "a" + " " * 300_000 + "b", "x" + "\n" * 300_000 + " y"):
+        assert ids_of(text).tolist() == library.encode(text, add_special_tokens=False).ids
