@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near copies: at least 0.8 of five-word shingles shared, fingerprints within 11 bits."""
+    return simhash.keep_one(docs, shingle=3, segments=6, radius=11, similarity=0.8, words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def op6_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, segments=2, radius=2, similarity=None)
 
 
 def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:

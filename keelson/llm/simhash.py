@@ -1,9 +1,15 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into two segments. If two fingerprints differ in at
-most two bits, one of the segments differs in at most one. So every segment is indexed
-under its 32 one-wildcard variants (one bit left out); fingerprints that are equal in
-some variant are candidates, and each candidate is verified on all 64 bits.
+A fingerprint of 64 bits is cut into segments. If two fingerprints differ in at most
+2 * segments - 1 bits, one of the segments differs in at most one. So every segment is
+indexed under its one-wildcard variants (one bit left out, 64 in all); fingerprints that are
+equal in some variant are candidates, and each candidate is verified on all 64 bits.
+
+Without a similarity, fingerprints within the radius are near copies. With one, two texts are near
+copies if their fingerprints are within the radius and the Jaccard similarity of their sets of `words`-word
+shingles (as 64-bit hashes) reaches it. Then real pairs travel: first a spanning forest of
+each set of equal variants is verified, and after that every pair whose texts the verified pairs have
+not joined yet, so that a large group of near copies does not send all its pairs and no pair is left out.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Variants are dealt to
 buckets by their hash and travel as packed arrays; a bucket sorts them, which is the
@@ -12,17 +18,20 @@ task; sets too large to compare pair by pair are linked by sorting under every
 two-bit mask instead, which is exact and takes m log m steps. Components then grow by
 alternating stars, in tables.
 
-Defined results: a null or wordless text has fingerprint zero, linked like any other; rows
+Defined results: a null or wordless text has fingerprint zero, linked like any other, and is similar to
+wordless texts alone; texts with equal 64-bit hashes count as one; rows
 with a null id get a component too but never name one; repeated rows stay rows; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, in_slices
@@ -32,19 +41,28 @@ SEED = 42
 PAIRWISE = 2048
 #: Variants in one bucket, about.
 BUCKET = 1 << 21
+#: Fingerprint bits compared at once in a large set of equal variants, in pairs.
+AT_ONCE = 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64 bits; bit i is set if more than half of the shingles' hashes set it."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The hash of every run of `shingle` words, of all words if there are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     k = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[s:e], SEED) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+    return np.array([h(joined[s:e], SEED) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64 bits; bit i is set if more than half of the shingles' hashes set it."""
+    hashes = shingles(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
@@ -53,15 +71,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every document."""
+    """doc_id, key (64-bit hash of the text) and fp, the fingerprint as a signed long, of every document."""
 
     def rows(batches):
         for b in in_slices(batches, "t"):
             fp = np.array([fingerprint(t, shingle) for t in as_bytes(b.column("t"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(rows, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(rows, f"doc_id {kind}, key long, fp long")
+
+
+def _key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -106,12 +128,41 @@ def close_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def variants(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every fingerprint 64 times with its variant's number (segment * 32 + wildcard) and key."""
+def _segments(segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of 64 bits: the number of its segment, where that begins, and its mask once shifted there."""
+    if not 2 <= segments <= 32:
+        raise ValueError(f"2 to 32 segments, not {segments}")
+    first = 64 * np.arange(segments + 1) // segments
+    wide = np.diff(first)
+    of = np.repeat(np.arange(segments), wide)
+    return of, first[of].astype(np.uint64), (np.uint64(1) << wide[of].astype(np.uint64)) - np.uint64(1)
+
+
+def _keys(fps: np.ndarray, which: np.ndarray, segments: int) -> np.ndarray:
+    """The key of a fingerprint's variant that leaves out bit `which`: that bit, and the rest of its segment."""
+    _, first, mask = _segments(segments)
+    w = which.astype(np.uint64)
+    return (w << np.uint64(32)) | ((fps & ~(np.uint64(1) << w)) >> first[which] & mask[which])
+
+
+def variants(fp: np.ndarray, segments: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every fingerprint 64 times with its variant's number (the bit left out) and key."""
     which = np.repeat(np.arange(64, dtype=np.uint64), len(fp))
     fps = np.tile(fp, 64)
-    segment = (fps >> (which & np.uint64(32))) & np.uint64(0xFFFFFFFF)
-    return fps, which, (which << np.uint64(32)) | (segment & ~(np.uint64(1) << (which & np.uint64(31))))
+    return fps, which, _keys(fps, which, segments)
+
+
+def _owner(differ: np.ndarray, segments: int) -> np.ndarray:
+    """The one variant that answers for a pair, by the bits it differs in: of the first segment with one such bit at most, that bit or its first."""
+    of, first, mask = _segments(segments)
+    out = np.full(len(differ), 64)
+    for bit in reversed(range(64)):
+        if bit and of[bit] == of[bit - 1]:
+            continue
+        part = differ >> first[bit] & mask[bit]
+        one = np.bitwise_count(part) <= 1
+        out[one] = bit + np.where(part[one] > 0, np.bitwise_count(part[one] - (part[one] > 0)), 0)
+    return out
 
 
 def _spread(key: np.ndarray) -> np.ndarray:
@@ -119,8 +170,8 @@ def _spread(key: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
 
 
-def joined(fps: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fingerprint, root) among fingerprints that share a key and differ in at most two bits."""
+def joined(fps: np.ndarray, key: np.ndarray, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (fingerprint, root) among fingerprints that share a key and differ in at most `radius` bits."""
     order = np.lexsort((fps, key))
     fps, key = fps[order], key[order]
     edge = np.concatenate([[True], key[1:] != key[:-1]])
@@ -132,11 +183,11 @@ def joined(fps: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if d < len(key) else np.zeros(0, int)
         if not len(i):
             break
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= 2]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
         a.append(i)
         b.append(i + d)
     for s, c in zip(start[count > 32].tolist(), count[count > 32].tolist()):
-        x, y = (close_pairs if c <= PAIRWISE else close_links)(fps[s : s + c])
+        x, y = close_pairs(fps[s : s + c], radius) if c <= PAIRWISE or radius != 2 else close_links(fps[s : s + c])
         a.append(x + s)
         b.append(y + s)
     if not a or not sum(map(len, a)):
@@ -147,32 +198,131 @@ def joined(fps: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[moved], distinct[root[moved]]
 
 
-def links(nodes: DataFrame, n: int) -> DataFrame:
-    """Links (a, b) whose components are those of all fingerprints `fp` within two bits; n: rows of nodes."""
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs a-b those that join what `label` (changed in place) has not joined yet, without a cycle; picked by chance, so that no node gets them all."""
+    chance = np.random.default_rng(len(a)).permutation(len(a))
+    a, b, kept = a[chance], b[chance], []
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        if not len(a):
+            return tuple(np.concatenate(c) for c in zip(*kept)) if kept else (a, b)
+        moved, i = np.unique(high, return_index=True)
+        kept.append((a[i], b[i]))
+        to = np.arange(len(label))
+        to[moved] = low[i]
+        while (further := to[to] != to).any():
+            to[further] = to[to[further]]
+        label[:] = to[label]
+
+
+def real_pairs(fps: np.ndarray, which: np.ndarray, group: np.ndarray | None, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in one bucket that share a variant and differ in at most `radius` bits, each in one variant of all only.
+
+    group: what is joined already; all pairs between different groups are given. Without it, a spanning forest of each set of equal variants.
+    """
+    key = _keys(fps, which, segments)
+    order = np.argsort(key, kind="stable")
+    fps, key, which, group = fps[order], key[order], which[order], None if group is None else group[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    count = np.diff(np.append(start, len(key)))
+    label, a, b = np.arange(len(key)), [], []
+
+    def take(x: np.ndarray, y: np.ndarray, within: slice) -> None:
+        differ = fps[x] ^ fps[y]
+        near = np.bitwise_count(differ) <= radius
+        x, y = x[near], y[near]
+        mine = _owner(differ[near], segments) == which[x]
+        x, y = x[mine], y[mine]
+        if group is not None:
+            apart = group[x] != group[y]
+            x, y = x[apart], y[apart]
+        elif len(x):
+            part = label[within] - within.start
+            x, y = (k + within.start for k in spanning(x - within.start, y - within.start, part))
+            label[within] = part + within.start
+        a.append(order[x])
+        b.append(order[y])
+
+    small = np.repeat((count > 1) & (count <= 32), count)
+    for d in range(1, 32):
+        i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if d < len(key) else np.zeros(0, int)
+        if not len(i):
+            break
+        take(i, i + d, slice(0, len(key)))
+    for s, c in zip(start[count > 32].tolist(), count[count > 32].tolist()):
+        rows = max(1, AT_ONCE // c)
+        for i in range(0, c, rows):
+            x, y = np.nonzero(np.bitwise_count(fps[s + i : s + min(i + rows, c), None] ^ fps[None, s + i : s + c]) <= radius)
+            take((x + s + i)[x < y], (y + s + i)[x < y], slice(s, s + c))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int) -> DataFrame:
+    """bucket, the named columns (fp first) and which, packed: every node 64 times, dealt by the keys of its variants; n: rows of nodes."""
     buckets = max(1, -(-64 * n // BUCKET))
 
     def deal(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(fp), 1 << 14):
-                fps, which, key = variants(fp[i : i + (1 << 14)])
+            for i in range(0, b.num_rows, 1 << 14):
+                held = [b.column(c).slice(i, 1 << 14).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
+                _, which, key = variants(held[0], segments)
                 to = (_spread(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                fps, which, to = fps[order], which[order].astype(np.uint8), to[order]
+                row, which, to = order % len(held[0]), which[order].astype(np.uint8), to[order]
                 first = np.searchsorted(to, np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used), *(pa.array([x[first[k] : first[k + 1]].tobytes() for k in used], pa.binary()) for x in (fps, which))], names=["bucket", "fps", "which"]
+                    [pa.array(used), *(pa.array([x[first[k] : first[k + 1]].tobytes() for k in used], pa.binary()) for x in (*(h[row] for h in held), which))], names=["bucket", *columns, "which"]
                 )
 
+    return nodes.select(*columns).mapInArrow(deal, ", ".join(["bucket long", *(f"{c} binary" for c in columns), "which binary"]))
+
+
+def _unpacked(t: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8 if c == "which" else "<u8") for c in columns]
+
+
+def links(nodes: DataFrame, n: int, segments: int = 2, radius: int = 2) -> DataFrame:
+    """Links (a, b) whose components are those of all fingerprints `fp` within the radius; n: rows of nodes."""
+
     def match(t: pa.Table) -> pa.Table:
-        fps, which = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("fps", "<u8"), ("which", np.uint8)))
-        w = which.astype(np.uint64)
-        segment = (fps >> (w & np.uint64(32))) & np.uint64(0xFFFFFFFF)
-        x, y = joined(fps, (w << np.uint64(32)) | (segment & ~(np.uint64(1) << (w & np.uint64(31)))))
+        fps, which = _unpacked(t, "fp", "which")
+        x, y = joined(fps, _keys(fps, which, segments), radius)
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
 
-    return nodes.select("fp").mapInArrow(deal, "bucket long, fps binary, which binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return _dealt(nodes, n, ["fp"], segments).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+
+
+def candidates(nodes: DataFrame, n: int, segments: int, radius: int, grouped: bool) -> DataFrame:
+    """Pairs (a, b) of keys, as `real_pairs` gives them, of nodes (fp, key and, if grouped, the group)."""
+    columns = ["fp", "key", *(["group"] if grouped else [])]
+
+    def match(t: pa.Table) -> pa.Table:
+        fps, which, key, *group = _unpacked(t, "fp", "which", *columns[1:])
+        x, y = real_pairs(fps, which, group[0] if grouped else None, segments, radius)
+        return pa.table({"a": key[x].view(np.int64), "b": key[y].view(np.int64)})
+
+    return _dealt(nodes, n, columns, segments).groupBy("bucket").applyInArrow(match, "a long, b long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles (key, s) have a Jaccard similarity of `least` or more."""
+    bound = Fraction(str(least))
+
+    def rows(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                keep.append(both * bound.denominator >= either * bound.numerator)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    x, y = sets.select(F.col("key").alias("a"), F.col("s").alias("x")), sets.select(F.col("key").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -196,30 +346,69 @@ def stars(edges: DataFrame) -> DataFrame:
         state = (row["n"], row["x"])
 
 
-def components(fps: DataFrame) -> DataFrame:
+def components(fps: DataFrame, segments: int = 2, radius: int = 2) -> DataFrame:
     """fp and component_id, the smallest id among the documents it reaches; one row for each distinct fp."""
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = stars(links(nodes, nodes.count())).withColumnsRenamed({"a": "fp", "b": "root"})
-    owned = nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return _least(nodes, stars(links(nodes, nodes.count(), segments, radius)), "fp")
+
+
+def _least(nodes: DataFrame, root: DataFrame, node: str) -> DataFrame:
+    """The node and component_id, by the roots of `stars`."""
+    owned = nodes.join(root.withColumnsRenamed({"a": node, "b": "root"}), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    return owned.join(least, "root").select("fp", "component_id")
+    return owned.join(least, "root").select(node, "component_id")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+def similar_components(docs: DataFrame, fps: DataFrame, doc_id: str, text: str, segments: int, radius: int, similarity: float, words: int) -> DataFrame:
+    """key (of a text) and component_id over all pairs of texts within the radius that are similar enough."""
+    nodes = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+    pairs = cut(candidates(nodes, nodes.count(), segments, radius, False))
+    # A text in any pair is in one of the forests, so nothing else needs to be read again.
+    met = cut(nodes.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi"))
+
+    def rows(batches):
+        for b in in_slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([np.unique(shingles(t, words)).tobytes() for t in as_bytes(b.column("t"))], pa.binary())], names=["key", "s"])
+
+    # Of equal texts the one with the least id is read, so that a text with many copies is no hot key.
+    texts = docs.select(F.col(doc_id).alias("least"), _key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    one = texts.join(met.select("least", "key"), (texts["least"].eqNullSafe(met["least"])) & (texts["key"] == met["key"]), "left_semi")
+    sets = cut(one.select("key", "t").mapInArrow(rows, "key long, s binary").dropDuplicates(["key"]))
+    found = cut(similar(pairs, sets, similarity))
+    group = met.join(stars(found).withColumnRenamed("a", "key"), "key", "left").select("fp", "key", F.coalesce("b", "key").alias("group"))
+    rest = cut(candidates(group, met.count(), segments, radius, True)).join(pairs, ["a", "b"], "left_anti")
+    return _least(nodes.select("key", "least"), stars(found.union(similar(rest, sets, similarity))), "key")
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, segments: int = 6, radius: int = 11, similarity: float | None = 0.8, words: int = 5
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+
+    radius: bits in which fingerprints of near copies may differ, 2 * segments - 1 at most. With a similarity, only texts
+    whose sets of `words`-word shingles are as similar as that are near copies.
+    """
+    if not 0 <= radius <= 2 * segments - 1:
+        raise ValueError(f"{segments} segments find fingerprints within {2 * segments - 1} bits, not {radius}")
     fps = cut(fingerprints(docs, doc_id, text, shingle))
-    return fps.join(components(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    if similarity is None:
+        found = fps.join(components(fps, segments, radius), "fp")
+    else:
+        found = fps.join(similar_components(docs, fps, doc_id, text, segments, radius, similarity, words), "key")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **contract) -> DataFrame:
     """docs without the near copies: of each component the rows with its smallest id stay, exact repeats of those once.
 
+    contract: what `near_duplicates` takes beside the columns.
+
     Rows with a null id cannot be named as copies and stay.
     """
     from pyspark.sql import Window
 
     named = docs.filter(F.col(doc_id).isNotNull())
-    chosen = near_duplicates(named, doc_id, text, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = near_duplicates(named, doc_id, text, **contract).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     order = Window.partitionBy(doc_id, "_text").orderBy("_text")
     one = named.join(chosen, named[doc_id] == chosen["_kept"], "left_semi").withColumn("_text", F.xxhash64(text)).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     return one.select(docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keelson.llm import fingerprint_index, queries, simhash, word_hashes
 
 DDL = "doc_id long, text string, block int, tag int, kept string, fp int, component_id int, n_words int"
@@ -97,6 +98,55 @@ def test_components_of_texts(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("segments", [2, 3, 6])
+@pytest.mark.parametrize("at_once", [64, 1 << 20])
+def test_every_pair_within_the_radius_is_found_once(monkeypatch, segments, at_once):
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    fp, radius = some_fingerprints(7, centres=5, hot=80), 2 * segments - 1
+    fp = np.concatenate([fp, fp[:9]])
+    fps, which, _ = simhash.variants(fp, segments)
+    node = np.tile(np.arange(len(fp)), 64)
+    x, y = simhash.close_pairs(fp, radius)
+    group = np.arange(len(fp)) % 7
+    a, b = simhash.real_pairs(fps, which, group[node].astype(np.uint64), segments, radius)
+    assert sorted(tuple(sorted(p)) for p in zip(node[a].tolist(), node[b].tolist())) == sorted((i, j) for i, j in zip(x.tolist(), y.tolist()) if group[i] != group[j])
+    a, b = simhash.real_pairs(fps, which, None, segments, radius)
+    assert set(zip(np.minimum(node[a], node[b]).tolist(), np.maximum(node[a], node[b]).tolist())) <= set(zip(x.tolist(), y.tolist()))
+    assert (simhash.forest(node[a], node[b], len(fp)) == simhash.forest(x, y, len(fp))).all()
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def test_near_copies_are_similar_texts_within_the_radius(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for many in (0, 1, 2, 3, 4, 6, 9, 15, 15):
+            w = list(base)
+            for k in rng.sample(range(150), many):
+                w[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += texts[:3] + ["one two three four", "One two three four", "one two three five", "", None]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    u = np.array([simhash.fingerprint((t or "").encode(), 3) for _, t in rows], np.uint64)
+    sets = [shingle_set(t or "") for _, t in rows]
+    alike = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    x, y = simhash.close_pairs(u, 11)
+    ok = np.array([alike(i, j) for i, j in zip(x.tolist(), y.tolist())])
+    want = simhash.forest(x[ok], y[ok], len(rows))
+    assert 0 < (~ok).sum() and (np.bitwise_count(u[x] ^ u[y])[ok] > 2).any()
+    got = simhash.near_duplicates(docs(spark, rows), segments=6, radius=11, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(want.tolist()))
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.tolist()))
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs(spark, rows), segments=2, radius=4)
+
+
 # Substring dedup.
 
 
