@@ -17,12 +17,15 @@ UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 DIGITS = b"0123456789"
 STOPS = (b".", b"!", b"?", b'"', b";", b":")
+#: Words in a block in which distinct words are counted.
+BLOCK = 1000
 # End of fixed values.
 
 #: Names of what `stats` returns, in order.
 FIELDS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_lower",
     "n_digits", "n_stops", "n_commas", "n_bangs", "n_distinct", "n_twins", "n_stop_lines", "longest_word", "n_pipes", "n_cased_words",
+    "block_words", "block_distinct",
 )
 
 
@@ -44,6 +47,15 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
+def blocks(words: list[bytes]) -> tuple[int, int]:
+    """Words and distinct words, added up over all blocks of BLOCK words of the whole text; the last block ends with the text and may overlap the one before."""
+    n = len(words)
+    if n <= BLOCK:
+        return n, len(set(words))
+    starts = [*range(0, n - BLOCK, BLOCK), n - BLOCK]
+    return BLOCK * len(starts), sum(len(set(words[i : i + BLOCK])) for i in starts)
+
+
 def stats(text: bytes) -> tuple[int, ...]:
     """The numbers named in FIELDS for one UTF-8 text."""
     words = text.split()
@@ -63,6 +75,7 @@ def stats(text: bytes) -> tuple[int, ...]:
         n, chars - (len(text) - in_words), _without(text, SYMBOLS), dups, repeat_words(words), chars, lines, _without(text, UPPER), _without(text, LOWER),
         _without(text, DIGITS), _without(text, b".?"), _without(text, b",;"), text.count(b"!"), len(set(words)), sum(map(eq, words, words[1:])), stopped,
         max(map(len, words), default=0), text.count(b"|"), sum(map(bytes.isupper, words)),
+        *blocks(words),
     )
 
 

@@ -1,7 +1,9 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation
 weighs them, and the posterior decides.
 
-Each rule looks at a document's statistics and votes good, bad or nothing. The
+Each rule looks at a document's statistics and votes good, bad or nothing. Variety is the mean
+share of distinct words in blocks of 1000 words over the whole text, as the share in the whole would
+fall with its length. The
 votes of a document form a pattern; there are at most 3 ** len(RULES) patterns,
 so their counts over the whole corpus are a small table whatever its size. The
 driver fits one accuracy per rule and class to that table, and every document
@@ -34,7 +36,7 @@ def _ratios(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     words, letters, lines = (np.maximum(x, 1) for x in (s["n_words"], s["n_upper"] + s["n_lower"], s["n_lines"]))
     return {
         "symbols": s["n_symbols"] / words, "repeats": s["n_repeat_words"] / words, "dup_lines": s["n_dup_lines"] / lines, "upper": s["n_upper"] / letters,
-        "bangs": s["n_bangs"] / words, "length": s["word_chars"] / words, "variety": s["n_distinct"] / words, "stops": s["n_stop_lines"] / lines, "twins": s["n_twins"] / words,
+        "bangs": s["n_bangs"] / words, "length": s["word_chars"] / words, "variety": s["block_distinct"] / np.maximum(s["block_words"], 1), "stops": s["n_stop_lines"] / lines, "twins": s["n_twins"] / words,
     }
 
 
@@ -46,7 +48,7 @@ RULES = {
     "upper": lambda r, n: (r["upper"] > 0.4, r["upper"] < 0.15),
     "bangs": lambda r, n: (r["bangs"] > 0.1, r["bangs"] < 0.01),
     "length": lambda r, n: ((r["length"] < 2.5) | (r["length"] > 14), (r["length"] >= 3.5) & (r["length"] <= 10)),
-    "variety": lambda r, n: (r["variety"] < 0.2 * (n < 2000), (r["variety"] > 0.4) | (n >= 2000)),
+    "variety": lambda r, n: (r["variety"] < 0.2, r["variety"] > 0.4),
     "stops": lambda r, n: (r["stops"] < 0.1, r["stops"] > 0.5),
 }
 # End of fixed values.

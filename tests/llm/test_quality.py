@@ -58,6 +58,28 @@ def test_expectation_maximisation_finds_the_faults():
     assert kept[truth].mean() > 0.99 and kept[~truth].mean() < 0.2 and 0.8 < share[0] < 0.95 and (table[0, :, weak_rules.GOOD] > 0.99).all()
 
 
+def variety_votes(texts):
+    return weak_rules.votes(doc_stats.table([t.encode() for t in texts]))[:, list(weak_rules.RULES).index("variety")].tolist()
+
+
+def test_variety_votes_both_ways_at_every_length():
+    rng = np.random.default_rng(3)
+    lengths = [150, 900, 1001, 1990, 2010, 5000, 25_000]
+    salad = [" ".join(f"w{k}" for k in rng.integers(0, 24, n)) for n in lengths]
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 3000, n)) for n in lengths]
+    tail = [" ".join([f"a{k}" for k in range(1000)] + ["b"] * (n - 1000)) for n in (6000, 20_000)]
+    assert variety_votes(salad) == [weak_rules.BAD] * 7 and variety_votes(prose) == [weak_rules.GOOD] * 7 and variety_votes(tail) == [weak_rules.BAD] * 2
+    assert doc_stats.blocks([b"a"] * 2000 + [b"b"] * 5) == (3000, 4)
+
+
+def test_long_word_salads_are_not_kept(spark):
+    rng = np.random.default_rng(5)
+    salads = [(k, " ".join(f"word{w}" for w in rng.integers(0, v, n)) + ".") for k, (v, n) in enumerate([(20, 1990), (20, 2010), (24, 1990), (24, 2010)] * 5, 10**7)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(salads, "doc_id long, text string"))
+    got = weak_rules.judge(docs).filter(F.col("doc_id") >= 10**7).toPandas()
+    assert len(got) == 20 and (got.posterior < 0.5).all() and not got.kept.any()
+
+
 def test_rules_on_documents(spark):
     text = " ".join(f"word{i} and{i % 7} more{i % 5} of it{i % 3}, as plain{i % 11} prose{i % 4} goes." for i in range(20))
     rows = [(1, text), (1, text), (None, None), (3, ""), (4, "a b c " * 40), (5, "short")]
