@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, in_slices
 
-# Phrases of the base scan, and templates of the method.
+# Phrases of the base scan, and templates of the method: grants and opening sentences first, then whole notices and licences.
 PHRASES = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": "licensed under the <<optional>> terms of the <<end>> apache license <<optional>> version <<end>> 2 0",
@@ -38,6 +38,13 @@ TEMPLATES = {
     "mit": "<<one of licensed|released|distributed>> under the <<optional>> terms of the <<end>> mit license",
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this <<words 1-2>> and associated documentation files",
 }
+TEMPLATES |= {
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> and <<end>> <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by <<words 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<words 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> and <<end>> <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> 3 <<end>> neither the name of <<words 1-12>> nor the names of <<one of its|the>> contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by <<words 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<words 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "gpl-3.0-notice": "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license <<optional>> or at your option any later version <<end>> <<words 1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "gpl-3.0-title": "gnu general public license version 3 29 june 2007",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this <<words 1-2>> and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<words 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+}
 # End of fixed values.
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))

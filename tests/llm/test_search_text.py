@@ -162,6 +162,24 @@ def test_scan_of_one_text():
     assert license_templates.scan(text, compiled) == (14, 3, 0, 6, "cc-by,gpl", "cc-by,gpl,mit", 1.0)
 
 
+BSD_1 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+BSD_3 = "3. Neither the name of Acme Ltd. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_W = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+
+
+def test_whole_notices_and_altered_ones():
+    compiled = {k: license_templates.Automaton.compile(v) for k, v in license_templates.TEMPLATES.items()}
+    of = lambda text: license_templates.scan(text.encode(), compiled)[5].split(",")
+    assert of(BSD_1 + BSD_W) == ["bsd", "bsd-2-clause"] and of(BSD_1 + BSD_3 + BSD_W) == ["bsd", "bsd-3-clause"]
+    assert of("x = 1\n" + GPL) == ["gpl", "gpl-3.0-notice"] and of("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007") == ["gpl", "gpl-3.0-title"]
+    assert of("The MIT License\n" + MIT) == ["mit-notice", "mit-text"]
+    # Altered conditions or warranty wording: the opening sentence alone is named.
+    assert of(BSD_1 + "3. No warships.\n" + BSD_W) == ["bsd"] and of(BSD_1 + BSD_W.replace("CONSEQUENTIAL", "other")) == ["bsd"]
+    assert of(MIT.replace("WITHOUT WARRANTY", "WITH A WARRANTY")) == ["mit-notice"] and of(GPL.replace("version 3", "version 2")) == ["gpl"]
+
+
 def test_licenses_of_documents(spark):
     df = spark.createDataFrame([(1, None, "q"), (1, "cc by", "q"), (None, "cc by", "q")], "doc_id long, text string, labels string")
     assert sorted(map(str, ((r["doc_id"], r["n_base"], r["labels"]) for r in license_templates.label(df).collect()))) == sorted(map(str, [(1, 0, ""), (1, 1, "cc-by"), (None, 1, "cc-by")]))
