@@ -39,10 +39,10 @@ from .common import as_bytes, cut, in_slices
 SEED = 42
 #: Sets of equal variants up to this size are compared pair by pair.
 PAIRWISE = 2048
-#: Variants in one bucket, about.
-BUCKET = 1 << 21
+#: Variants in one bucket, about: where only links are made, and where pairs are.
+BUCKET, PAIR_BUCKET = 1 << 21, 1 << 18
 #: Fingerprint bits compared at once in a large set of equal variants, in pairs.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -259,14 +259,14 @@ def real_pairs(fps: np.ndarray, which: np.ndarray, group: np.ndarray | None, seg
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int) -> DataFrame:
-    """bucket, the named columns (fp first) and which, packed: every node 64 times, dealt by the keys of its variants; n: rows of nodes."""
-    buckets = max(1, -(-64 * n // BUCKET))
+def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int, bucket: int) -> DataFrame:
+    """bucket, the named columns (fp first) and which, packed: every node 64 times, dealt by the keys of its variants, about `bucket` of them together; n: rows of nodes."""
+    buckets = max(1, -(-64 * n // bucket))
 
     def deal(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 1 << 14):
-                held = [b.column(c).slice(i, 1 << 14).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
+            for i in range(0, b.num_rows, 1 << 13):
+                held = [b.column(c).slice(i, 1 << 13).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
                 _, which, key = variants(held[0], segments)
                 to = (_spread(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -292,7 +292,7 @@ def links(nodes: DataFrame, n: int, segments: int = 2, radius: int = 2) -> DataF
         x, y = joined(fps, _keys(fps, which, segments), radius)
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
 
-    return _dealt(nodes, n, ["fp"], segments).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return _dealt(nodes, n, ["fp"], segments, BUCKET).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
 def candidates(nodes: DataFrame, n: int, segments: int, radius: int, grouped: bool) -> DataFrame:
@@ -304,7 +304,7 @@ def candidates(nodes: DataFrame, n: int, segments: int, radius: int, grouped: bo
         x, y = real_pairs(fps, which, group[0] if grouped else None, segments, radius)
         return pa.table({"a": key[x].view(np.int64), "b": key[y].view(np.int64)})
 
-    return _dealt(nodes, n, columns, segments).groupBy("bucket").applyInArrow(match, "a long, b long")
+    return _dealt(nodes, n, columns, segments, PAIR_BUCKET).groupBy("bucket").applyInArrow(match, "a long, b long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -312,7 +312,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     bound = Fraction(str(least))
 
     def rows(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             keep = []
             for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
