@@ -269,15 +269,27 @@ def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text:
     return plain.groupBy("block").cogroup(removals.groupBy("block")).applyInArrow(block, schema).withColumnsRenamed({f"_{i}": f"in.{c}" for i, c in enumerate(rest)})
 
 
+def _buckets_of(history: DataFrame, buckets: int | None) -> int | None:
+    """The bucket count that the runs in history were written with; None if there are no runs."""
+    if "buckets" not in history.columns:
+        raise ValueError("the runs in history do not say how many buckets they were dealt to")
+    least, most = history.agg(F.min("buckets"), F.max("buckets")).first()
+    if least != most or (buckets and least and buckets != least):
+        raise ValueError(f"the runs in history were dealt to {least} to {most} buckets, this batch to {buckets or 'as many'}")
+    return least
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, history: DataFrame | None = None, runs_to: str | None = None, buckets: int | None = None, fan: int = FAN) -> DataFrame:
     """Every row of docs with its other columns as `in.<name>`, and n_words, n_removed and kept (words joined by one space).
 
-    history: runs (bucket, blob) that an earlier batch wrote to its `runs_to`; such batches
-    must share `buckets`. runs_to: where this batch writes all runs that are then valid.
+    history: runs (bucket, buckets, blob) that an earlier batch wrote to its `runs_to`; their bucket count
+    holds for this batch, and another in `buckets` fails. runs_to: where this batch writes all runs that are then valid.
     """
+    held = None if history is None else _buckets_of(history, buckets)
     shares = buckets or shares_for(docs, text)
-    index = _index(docs.select(*_numbered(docs, shares, doc_id, text)), shares, history, runs_to is not None, size, fan)
+    dealt = held or shares
+    index = _index(docs.select(*_numbered(docs, shares, doc_id, text)), dealt, history, runs_to is not None, size, fan)
     if runs_to is not None:
         index = cut(index)
-        index.filter(F.col("kind") == RUN).select(F.col("block").alias("bucket"), "blob").write.mode("errorifexists").parquet(runs_to)
+        index.filter(F.col("kind") == RUN).select(F.col("block").alias("bucket"), F.lit(dealt).alias("buckets"), "blob").write.mode("errorifexists").parquet(runs_to)
     return _apply(docs, index.filter(F.col("kind") == REMOVED).select("block", "blob"), shares, doc_id, text, size)

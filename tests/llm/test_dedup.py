@@ -228,6 +228,24 @@ def test_batches_with_an_index_equal_one_pass(spark, tmp_path):
         assert (key[1:] >= key[:-1]).all()
 
 
+def test_batches_of_other_sizes_use_the_buckets_of_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprint_index, "SHARE", 4000)
+    rows = sorted(passages(6, 80))
+    want, got, history, asked = oracle([t for _, t in rows]), [], None, set()
+    for k, (i, j) in enumerate([(0, 50), (50, 55), (55, 80)]):
+        batch = docs(spark, rows[i:j])
+        asked.add(fingerprint_index.shares_for(batch))
+        found = fingerprint_index.dedup(batch, history=history, runs_to=str(tmp_path / str(k)))
+        got += sorted((r["in.doc_id"], (r["n_words"], r["n_removed"], r["kept"])) for r in found.collect())
+        history = spark.read.parquet(str(tmp_path / str(k)))
+    assert len(asked) > 1 and history.select("buckets").distinct().count() == 1
+    assert [x for _, x in got] == want
+    with pytest.raises(ValueError):
+        fingerprint_index.dedup(docs(spark, rows[:2]), history=history, buckets=1)
+    with pytest.raises(ValueError):
+        fingerprint_index.dedup(docs(spark, rows[:2]), history=history.drop("buckets"))
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     df = queries.QUERIES["op4_substring_dedup"](spark, sf)
