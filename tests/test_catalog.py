@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,3 +37,15 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
+
+
+def test_entry_points_without_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "keelson"):
+        if os.path.isdir(f"{root}/{name}"):
+            shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = "import __spark_entry__ as e, keelson; print(keelson.__file__, sorted(e.queries()) == sorted(e._core()[0]), len(e.oracle_sql()) > 50)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(tmp_path / "keelson" / "__init__.py"), "True", "True"]
