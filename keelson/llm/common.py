@@ -3,22 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the context's checkpoint folder, or else the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests, a single machine) a temporary one takes its place.
+    Only a local master, whose executors are this machine, gets a temporary folder where both are unset.
     """
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
-    return df.checkpoint()
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="keelson-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of queries that are made and run inside go when each has ended; only for queries whose result is written or collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and go on from there; its shuffle files go at once."""
+    checkpoint_folder(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

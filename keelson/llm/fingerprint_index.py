@@ -8,37 +8,49 @@ One pass hashes the text. Each window is filed under its minimiser, the half-win
 with the smallest hash in it, so about one record in six windows travels, with its
 windows' check hashes; equal windows always share a minimiser and its offset. Windows
 that repeat inside a slice are settled there, so that a passage found everywhere sends one record a slice.
-Records are dealt to buckets as packed arrays. A bucket sorts its windows, merge-joins
-them with the sorted immutable runs of earlier batches, verifies each match on a second,
-independent hash (116 bits in all), and sends back what to remove. Where runs
-are kept, the batch's new windows become a run, and runs of a bucket are compacted
-whenever more than `fan` of them have gathered. A last pass meets the documents with
-their removals, block by block.
+Records are dealt to buckets by minimiser, as packed arrays. A minimiser that holds more than a quarter
+of a bucket's usual load (a line that stands in very many otherwise different documents) is dealt by whole window instead, in
+which equal windows agree too; such minimisers are counted over all texts before the first batch.
+
+A bucket sorts the batch's records and merge-joins them by minimiser with the sorted immutable runs of
+earlier batches. Only where minimisers meet are windows looked at: two are equal if minimiser, offset and a 48-bit
+check agree. The check is rolled over a second hash of every word, made from another seed, so that words or windows that
+collide in one do not in the other. The records that hold a new window become the batch's run. When more than `fan`
+runs have gathered, the same pass merges them into one, dealt to more buckets where they have outgrown these. A last pass
+meets the documents with their removals, block by block.
 
 Defined results: a null text has no words; texts of fewer than `size` words lose nothing; a
 null id counts as smaller than any; rows that share an id are ordered by the crc32 of
 their text, and rows that repeat another in id and text are that same document, so each
-gets its result; an empty table gives no rows; other columns are kept by `dedup`.
+gets its result; an empty table gives no rows; a text of any length is one document (a slice holds one
+text at least); other columns are kept by `dedup` as `in.<name>`, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, in_slices
+from .common import as_bytes, checkpoint_folder, cut, delete, in_slices, tidy
 from .word_hashes import mix, rolling, words
 
 SIZE = 20
 #: Bytes of text in a bucket of the index and in a block of documents, about.
 SHARE = 16 << 20
-#: More runs than this in a bucket are merged into one.
+#: More runs than this are merged into one.
 FAN = 4
+#: A minimiser is hot from this many records on, if that is also more than a quarter of a bucket's mean load.
+HOT = 256
+#: Bytes of packed runs in a bucket from which a merge deals them to more buckets.
+GROWN = 64 << 20
 
 _ID = -(2**63)
 _48 = np.uint64((1 << 48) - 1)
@@ -95,137 +107,165 @@ def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[i], start[i], np.diff(np.append(i, len(doc)))
 
 
-def scan(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, blocks: np.ndarray, buckets: int, size: int = SIZE):
-    """(bucket, kind, blob) of one slice: records for the index, and removals that the slice settles itself."""
+def _windows(texts: list[bytes], size: int):
+    """The texts' word hashes, where words of each text begin, the documents and starts of all windows and their minimisers' hashes and places."""
+    h, first = words(texts)
+    half = size // 2
+    m = rolling(h, half, 0x9E3779B97F4A7C15)
+    n = np.maximum(np.diff(first) - size + 1, 0)
+    w = _spans(first[:-1], n)
+    at = _minimisers(m, size - half + 1)[w] if len(w) else w
+    return h, first, np.repeat(np.arange(len(texts)), n), w, m, at
+
+
+def _single(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which x stand in the sorted array `among`."""
+    if not len(among):
+        return np.zeros(len(x), bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def _sub(offset: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """What tells windows of one minimiser apart, as one number."""
+    return (offset.astype(np.uint64) << np.uint64(48)) | check
+
+
+def _bucket(key: np.ndarray, sub: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Where records go: by minimiser, and those of hot ones (a window each) by window."""
+    spread = np.where(_single(key, hot), mix(key ^ mix(sub)), key)
+    return ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def scan(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, blocks: np.ndarray, buckets: int, hot: np.ndarray, size: int = SIZE):
+    """(bucket, kind, block, blob) of one slice: records for the index, and removals that the slice settles itself."""
     order = np.lexsort((tags, ids))
     ids, tags, blocks = ids[order], tags[order], blocks[order]
     fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
     ids, tags, blocks, texts = ids[fresh], tags[fresh], blocks[fresh], [texts[k] for k in order[fresh]]
-    h, first = words(texts)
-    half = size // 2
-    m, whole, check = rolling(h, half, 0x9E3779B97F4A7C15), rolling(h, size, 0xC2B2AE3D27D4EB4F), rolling(h, size, 0xA0761D6478BD642F)
-    n = np.maximum(np.diff(first) - size + 1, 0)
-    w = _spans(first[:-1], n)  # where windows start
+    h, first, doc, w, m, at = _windows(texts, size)
     if not len(w):
         return
-    doc, whole, check = np.repeat(np.arange(len(texts)), n), whole[w], check[w] & _48
+    whole, check = rolling(h, size, 0xC2B2AE3D27D4EB4F)[w], rolling(words(texts, 0x5851F42D4C957F2D)[0], size, 0xA0761D6478BD642F)[w] & _48
     rank = np.argsort(whole, kind="stable")
     again = np.zeros(len(w), bool)
     again[rank[1:]] = (whole[rank[1:]] == whole[rank[:-1]]) & (check[rank[1:]] == check[rank[:-1]])
-    at = _minimisers(m, size - half + 1)[w]
-    # Runs of windows that share a minimiser; those with no window that is new here stay home.
-    i = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    # Runs of windows that share a minimiser, or single windows of a hot one; those with no window that is new here stay home.
+    single = _single(m[at], hot)
+    i = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]) | single)
     count = np.diff(np.append(i, len(w)))
     sent = np.add.reduceat(~again, i) > 0
     i, count = i[sent], count[sent]
     key, offset, owner = m[at[i]], (at[i] - w[i]).astype(np.uint8), doc[i]
     place = (w[i] - first[owner]).astype(np.uint32)
-    to = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    to = _bucket(key, _sub(offset, check[i]), hot, buckets)
     o = np.argsort(to, kind="stable")
     edge = np.searchsorted(to[o], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edge)):
         r = o[edge[b] : edge[b + 1]]
         who, runs = np.unique(owner[r], return_counts=True)  # r is in document order
-        yield int(b), RECORDS, _pack(
+        yield int(b), RECORDS, 0, _pack(
             ids[who], tags[who].astype(np.uint32), blocks[who].astype(np.uint32), runs.astype(np.uint32),
             key[r], place[r], offset[r], count[r].astype(np.uint8), _six(check[_spans(i[r], count[r])]),
         )
-    yield from _removals(ids, tags, blocks, doc[again], (w - first[doc])[again], lambda block: block % buckets)
+    for block, kind, blob in _removals(ids, tags, blocks, doc[again], (w - first[doc])[again]):
+        yield block % buckets, kind, block, blob
 
 
-def _removals(ids, tags, blocks, doc, start, bucket):
-    """(bucket, REMOVED, blob) rows by block for windows (doc, start) in order."""
+def _removals(ids, tags, blocks, doc, start):
+    """(block, REMOVED, blob) for windows (doc, start) in order."""
     doc, start, many = _ranges(doc, start)
     order = np.argsort(blocks[doc], kind="stable")
     doc, start, many = doc[order], start[order], many[order]
     block = blocks[doc]
-    for s, e in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block)))) if len(block) else ():
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, int)
+    for s, e in zip(edge, np.append(edge[1:], len(block))):
         d = doc[s:e]
-        yield int(bucket(int(block[s]))), REMOVED, int(block[s]), _pack(ids[d], tags[d].astype(np.uint32), start[s:e].astype(np.uint32), many[s:e].astype(np.uint32))
-
-
-def _find(run: tuple[np.ndarray, np.ndarray], key: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Which (key, check) stand in a sorted run: a merge-join on keys, verified on checks."""
-    k, c = run
-    found = np.zeros(len(key), bool)
-    lo, hi = np.searchsorted(k, key, "left"), np.searchsorted(k, key, "right")
-    step = 0
-    while (live := lo + step < hi).any():
-        i = np.flatnonzero(live)
-        found[i] |= c[lo[i] + step] == check[i]
-        step += 1
-    return found
-
-
-def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted run without repeats out of several."""
-    k, c = (np.concatenate(x) for x in zip(*runs))
-    o = np.lexsort((c, k))
-    k, c = k[o], c[o]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
-    return k[new], c[new]
-
-
-def match(blobs: list[bytes], runs: list[tuple[np.ndarray, np.ndarray]], keep: bool, fan: int = FAN):
-    """Rows of one bucket: removals by block, and with `keep` the bucket's runs after this batch."""
-    parts = [_unpack(x, "<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1", "u1", "u1") for x in blobs]
-    ids, tags, blocks, times, key, place, offset, count, check = (np.concatenate([p[k] for p in parts]) for k in range(9)) if parts else [np.zeros(0, t) for t in ("<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1", "u1", "u1")]
-    owner, check, count = np.repeat(np.arange(len(ids)), times), _from_six(check), count.astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else count
-    if not runs and not keep:  # a minimiser that occurs once has no equal window anywhere
-        o = np.argsort(key, kind="stable")
-        same = key[o][1:] == key[o][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[o[1:][same]] = twice[o[:-1][same]] = True
-        key, place, offset, count, owner, at = (x[twice] for x in (key, place, offset, count, owner, at))
-    step = _spans(np.zeros(len(count), np.int64), count)
-    off = np.repeat(offset.astype(np.int64), count) - step
-    check, owner, start, key = check[np.repeat(at, count) + step], np.repeat(owner, count), np.repeat(place.astype(np.int64), count) + step, np.repeat(key, count)
-    known = key
-    key = mix(key + off.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(check)
-    check = (check << np.uint64(16)) | (known & np.uint64(0xFFFF))
-    o = np.lexsort((start, tags[owner], ids[owner], check, key))
-    key, check, owner, start = key[o], check[o], owner[o], start[o]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, int)
-    later = (ids[owner] != ids[owner[lead]]) | (tags[owner] != tags[owner[lead]]) | (start != start[lead])
-    for run in runs:
-        later |= _find(run, key, check)
-    doc, start = owner[later], start[later]
-    if len(doc):  # the same document may come from several slices' records: count it as one
-        o = np.lexsort((start, tags[doc], ids[doc]))
-        doc, start = doc[o], start[o]
-        same = np.concatenate([[False], (ids[doc][1:] == ids[doc][:-1]) & (tags[doc][1:] == tags[doc][:-1])])
-        doc = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
-        yield from _removals(ids, tags, blocks, doc, start, lambda block: 0)
-    if keep:
-        runs = sorted([*runs, (key[new], check[new])], key=lambda r: -len(r[0]))
-        for run in [merge(runs)] if len(runs) > fan else runs:
-            yield 0, RUN, 0, _pack(*run)
-
-
-def _index(docs: DataFrame, shares: int, history: DataFrame | None, keep: bool, size: int, fan: int) -> DataFrame:
-    """block (of documents, or bucket for runs), kind, blob."""
-
-    def records(batches):
-        for b in in_slices(batches, "t", 4 << 20, 1 << 16):
-            ids = np.array([_ID if x is None else x for x in b.column("id").to_pylist()], dtype=np.int64)
-            rows = [(x[0], x[1], x[2] if len(x) == 4 else 0, x[-1]) for x in scan(as_bytes(b.column("t")), ids, *(b.column(c).to_numpy() for c in ("tag", "block")), shares, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "blob"])
+        yield int(block[s]), REMOVED, _pack(ids[d], tags[d].astype(np.uint32), start[s:e].astype(np.uint32), many[s:e].astype(np.uint32))
+
+
+#: One sorted run of a bucket: minimisers, the offset and number of each one's windows, and the windows' checks.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _read_run(blob: bytes) -> Run:
+    key, offset, count, check = _unpack(blob, "<u8", "u1", "u1", "u1")
+    return key, offset, count, _from_six(check)
 
-    def bucket(t: pa.Table) -> pa.Table:
-        kinds, blocks, blobs = (t.column(c).to_pylist() for c in ("kind", "block", "blob"))
-        at = t.column("bucket")[0].as_py()
-        pick = lambda k: [x for x, kind in zip(blobs, kinds) if kind == k]
-        out = [(b, REMOVED, x) for b, x, kind in zip(blocks, blobs, kinds) if kind == REMOVED]
-        for _, kind, block, blob in match(pick(RECORDS), [tuple(_unpack(x, "<u8", "<u8")) for x in pick(RUN)], keep, fan):
-            out.append((at if kind == RUN else block, kind, blob))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "kind", "blob"])
 
-    dealt = docs.select("id", "tag", "block", "t").mapInArrow(records, "bucket long, kind int, block long, blob binary")
-    if history is not None:
-        dealt = dealt.unionByName(history.select("bucket", F.lit(RUN).alias("kind"), F.lit(0).cast("long").alias("block"), "blob"))
-    return dealt.groupBy("bucket").applyInArrow(bucket, "block long, kind int, blob binary")
+def _sorted_run(key: np.ndarray, offset: np.ndarray, count: np.ndarray, check: np.ndarray) -> Run:
+    """Records in the order of their minimisers; of records sorted already in parts, the sort is a merge."""
+    o = np.argsort(key, kind="stable")
+    begin = np.cumsum(count, dtype=np.int64) - count
+    return key[o], offset[o], count[o], check[_spans(begin[o], count[o].astype(np.int64))]
+
+
+def merge(runs: list[Run]) -> Run:
+    """One sorted run out of several."""
+    return _sorted_run(*(np.concatenate(x) for x in zip(*runs)))
+
+
+def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-join of two sorted arrays: which of a stand in b, and which of b in a."""
+    both = np.concatenate([a, b])
+    if not len(both):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    o = np.argsort(both, kind="stable")  # a merge, as both parts are sorted
+    start = np.flatnonzero(np.concatenate([[True], both[o[1:]] != both[o[:-1]]]))
+    held = np.add.reduceat((o >= len(a)).astype(np.int64), start)
+    many = np.diff(np.append(start, len(both)))
+    met = np.zeros(len(both), bool)
+    met[o] = np.repeat((held > 0) & (held < many), many)
+    return met[: len(a)], met[len(a) :]
+
+
+def match(blobs: list[bytes], runs: list[Run]):
+    """One bucket: the documents of the batch (ids, tags, blocks), which windows (document, start) go, and the run of the records that hold a new window."""
+    kinds = ("<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1", "u1", "u1")
+    parts = [_unpack(x, *kinds) for x in blobs]
+    ids, tags, blocks, times, key, place, offset, count, check = (np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in enumerate(kinds))
+    owner, check, count = np.repeat(np.arange(len(ids)), times), _from_six(check), count.astype(np.int64)
+    o = np.argsort(key, kind="stable")
+    begin = (np.cumsum(count) - count)[o]
+    key, place, offset, count, owner = key[o], place[o].astype(np.int64), offset[o], count[o], owner[o]
+    look = np.zeros(len(key), bool)  # records whose minimiser occurs elsewhere too
+    same = np.flatnonzero(key[1:] == key[:-1])
+    look[same] = look[same + 1] = True
+    held = []
+    for run in runs:
+        here, there = meeting(key, run[0])
+        look |= here
+        n = run[2].astype(np.int64)
+        at = np.cumsum(n) - n
+        held.append((run[0][there], run[1][there], n[there], run[3][_spans(at[there], n[there])]))
+    r = np.flatnonzero(look)
+
+    def windows(key, offset, count):
+        step = _spans(np.zeros(len(count), np.int64), count)
+        return np.repeat(key, count), np.repeat(offset.astype(np.int64), count) - step, step
+
+    wk, wo, step = windows(key[r], offset[r], count[r])
+    wc, wr = check[_spans(begin[r], count[r])], np.repeat(r, count[r])
+    who, start = owner[wr], place[wr] + step
+    past = [(*windows(k, f, n)[:2], c) for k, f, n, c in held]
+    k, f, c = (np.concatenate(x) for x in zip((wk, wo, wc), *past))
+    old = np.arange(len(k)) >= len(wk)
+    pad = np.zeros(int(old.sum()), np.int64)
+    i, g, s, sub = np.concatenate([ids[who], pad]), np.concatenate([tags[who].astype(np.int64), pad]), np.concatenate([start, pad]), _sub(f, c)
+    o = np.lexsort((s, g, i, ~old, sub, k))
+    k, sub, old, i, g, s = k[o], sub[o], old[o], i[o], g[o], s[o]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (sub[1:] != sub[:-1])]) if len(k) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.zeros(0, int)
+    gone = ~old & (old[lead] | (i != i[lead]) | (g != g[lead]) | (s != s[lead]))
+    # The same document may come from several slices' records: it counts as one.
+    doc, start = who[o[gone]], s[gone]
+    o2 = np.lexsort((start, tags[doc], ids[doc]))
+    doc, start = doc[o2], start[o2]
+    repeat = np.concatenate([[False], (ids[doc][1:] == ids[doc][:-1]) & (tags[doc][1:] == tags[doc][:-1])]) if len(doc) else np.zeros(0, bool)
+    doc = doc[np.maximum.accumulate(np.where(repeat, 0, np.arange(len(doc))))] if len(doc) else doc
+    stays = ~look
+    stays[wr[o[new & ~old]]] = True
+    n = count[stays]
+    return (ids, tags, blocks), (doc, start), (key[stays], offset[stays], n.astype(np.uint8), check[_spans(begin[stays], n)])
 
 
 def shares_for(docs: DataFrame, text: str = "text") -> int:
@@ -240,11 +280,114 @@ def _numbered(docs: DataFrame, shares: int, doc_id: str, text: str) -> list:
     return [F.col(doc_id).cast("long").alias("id"), tag.alias("tag"), F.pmod(F.xxhash64(F.col(doc_id), tag), F.lit(shares)).alias("block"), t.alias("t")]
 
 
-def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text: str, size: int) -> DataFrame:
-    """docs with n_words, n_removed and kept in a struct-free, clash-free frame: _id, _rest, n_words, n_removed, kept."""
+def hot_minimisers(docs: DataFrame, buckets: int, text: str = "text", size: int = SIZE) -> list[int]:
+    """Minimisers (as signed longs) with more records than a quarter of a bucket's mean load, and HOT at least: four a bucket at most.
+
+    Counted over all texts; what stands in a slice of the texts only once is not reported from there. The set decides where
+    records are dealt and never what is found.
+    """
+
+    def rows(batches):
+        for b in in_slices(batches, "t", 4 << 20, 1 << 16):
+            *_, m, at = _windows(as_bytes(b.column("t")), size)
+            key, n = np.unique(m[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, int))
+            many = n > 1
+            total = pa.array([None, *key[many].view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([total, pa.array([int(n.sum()), *n[many].tolist()], pa.int64())], names=["key", "n"])
+
+    found = cut(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    records = found.filter("key is null").first()
+    least = max(HOT, (records["n"] if records else 0) // buckets // 4)
+    return sorted(r["key"] for r in found.filter(F.col("key").isNotNull() & (F.col("n") > least)).collect())
+
+
+COMMIT = "batch int, runs array<int>, buckets int, size int, hot array<long>, bytes long"
+
+
+@dataclass
+class FingerprintIndex:
+    """Sorted immutable runs of window hashes below a shared folder, one for each batch until they are merged.
+
+    A batch writes its removals and its run to a folder of its own and counts once its commit is written, so a batch that failed
+    half-way is repeated without a trace. The bucket count, the window size and the hot minimisers stand in the commits; a new
+    index takes them from its arguments, an index opened again from the last commit.
+    """
+
+    spark: SparkSession
+    folder: str
+    buckets: int = 1
+    size: int = SIZE
+    fan: int = FAN
+    hot: list[int] = field(default_factory=list)
+    batch: int = field(default=0, init=False)
+    runs: list[int] = field(default_factory=list, init=False)
+    bytes: int = field(default=0, init=False)
+
+    def __post_init__(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            last = self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits").orderBy(F.desc("batch")).first()
+            self.batch, self.runs, self.buckets, self.size, self.hot, self.bytes = (list(x) if isinstance(x, list) else x for x in last)
+
+    def _kind(self, batch: int, kind: int) -> DataFrame:
+        return self.spark.read.schema("place long, blob binary, kind int").parquet(f"{self.folder}/{batch}").filter(F.col("kind") == kind)
+
+    def history(self) -> DataFrame:
+        """bucket, blob of all runs that are valid now."""
+        found = self.spark.createDataFrame([], "bucket long, blob binary")
+        for k in self.runs:
+            found = found.unionByName(self._kind(k, RUN).select(F.col("place").alias("bucket"), "blob"))
+        return found
+
+    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """Match a batch (id, tag, block, t, of `_numbered`) and take its windows in; gives its removals (block, blob). keep: without it the batch leaves no run."""
+        number, buckets, size, hot = self.batch + 1, self.buckets, self.size, np.array(self.hot, np.int64).view(np.uint64)
+        merging = keep and len(self.runs) + 1 > self.fan
+        dealt_to = buckets * max(1, -(-self.bytes // (buckets * GROWN))) if merging else buckets
+
+        def records(batches):
+            for b in in_slices(batches, "t", 4 << 20, 1 << 16):
+                ids = np.array([_ID if x is None else x for x in b.column("id").to_pylist()], dtype=np.int64)
+                rows = list(scan(as_bytes(b.column("t")), ids, *(b.column(c).to_numpy() for c in ("tag", "block")), buckets, hot, size))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "blob"])
+
+        def bucket(t: pa.Table) -> pa.Table:
+            kinds, blocks, blobs = (t.column(c).to_pylist() for c in ("kind", "block", "blob"))
+            at = t.column("bucket")[0].as_py()
+            pick = lambda k: [x for x, kind in zip(blobs, kinds) if kind == k]
+            out = [(b, REMOVED, x) for b, x, kind in zip(blocks, blobs, kinds) if kind == REMOVED]
+            runs = [_read_run(x) for x in pick(RUN)]
+            (ids, tags, batch_blocks), (doc, start), run = match(pick(RECORDS), runs)
+            out += [(b, kind, blob) for b, kind, blob in _removals(ids, tags, batch_blocks, doc, start)]
+            if keep:
+                key, offset, count, check = merge([*runs, run]) if merging else run
+                first = np.cumsum(count, dtype=np.int64) - count
+                to = _bucket(key, _sub(offset, check[first]), hot, dealt_to) if dealt_to != buckets else np.full(len(key), at)
+                for b in np.unique(to):
+                    r = np.flatnonzero(to == b)
+                    out.append((int(b), RUN, _pack(key[r], offset[r], count[r], _six(check[_spans(first[r], count[r].astype(np.int64))]))))
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["place", "kind", "blob"])
+
+        dealt = docs.select("id", "tag", "block", "t").mapInArrow(records, "bucket long, kind int, block long, blob binary")
+        dealt = dealt.unionByName(self.history().select("bucket", F.lit(RUN).alias("kind"), F.lit(0).cast("long").alias("block"), "blob"))
+        with tidy(self.spark):
+            dealt.groupBy("bucket").applyInArrow(bucket, "place long, kind int, blob binary").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/{number}")
+        replaced = self.runs if merging else []
+        self.runs, self.buckets = ([number] if merging else [*self.runs, number]) if keep else self.runs, dealt_to
+        size_of = lambda k: self._kind(k, RUN).agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+        self.batch, self.bytes = number, (0 if merging else self.bytes) + (size_of(number) if keep else 0)
+        row = (self.batch, self.runs, self.buckets, self.size, self.hot, self.bytes)
+        self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        for k in replaced:
+            delete(self.spark, f"{self.folder}/{k}/kind={RUN}")
+        return self._kind(number, REMOVED).select(F.col("place").alias("block"), "blob")
+
+
+def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text: str, size: int, keep_text: bool) -> DataFrame:
+    """docs, all columns as in.<name> (the text only with keep_text), with n_words, n_removed and kept."""
     rest = [c for c in docs.columns if c != text]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    plain = docs.select(*_numbered(docs, shares, doc_id, text), *(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)))
+    plain = docs.select(*_numbered(docs, shares, doc_id, text), F.col(text).isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)))
 
     def block(d: pa.Table, r: pa.Table) -> pa.Table:
         gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -263,33 +406,43 @@ def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text:
             lost.append(total[-1] - len(w))
             kept.append(b" ".join(w))
         own = [d.column(f"_{k}") for k in range(len(rest))]
-        return pa.table([*own, pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(f"_{k}" for k in range(len(rest))), "n_words", "n_removed", "kept"])
-
-    schema = ", ".join([*(f"_{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
-    return plain.groupBy("block").cogroup(removals.groupBy("block")).applyInArrow(block, schema).withColumnsRenamed({f"_{i}": f"in.{c}" for i, c in enumerate(rest)})
-
+        texts = [pc.if_else(d.column("no_text"), pa.scalar(None, pa.string()), d.column("t"))] if keep_text else []
+        made = [pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table([*own, *texts, *made], names=[*(f"_{k}" for k in range(len(rest) + keep_text)), "n_words", "n_removed", "kept"])
 
-def _buckets_of(history: DataFrame, buckets: int | None) -> int | None:
-    """The bucket count that the runs in history were written with; None if there are no runs."""
-    if "buckets" not in history.columns:
-        raise ValueError("the runs in history do not say how many buckets they were dealt to")
-    least, most = history.agg(F.min("buckets"), F.max("buckets")).first()
-    if least != most or (buckets and least and buckets != least):
-        raise ValueError(f"the runs in history were dealt to {least} to {most} buckets, this batch to {buckets or 'as many'}")
-    return least
+    names = [*rest, *[text] * keep_text]
+    schema = ", ".join([*(f"_{i} {kinds[c] if c != text else 'string'}" for i, c in enumerate(names)), "n_words long, n_removed long, kept string"])
+    return plain.groupBy("block").cogroup(removals.groupBy("block")).applyInArrow(block, schema).withColumnsRenamed({f"_{i}": f"in.{c}" for i, c in enumerate(names)})
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, history: DataFrame | None = None, runs_to: str | None = None, buckets: int | None = None, fan: int = FAN) -> DataFrame:
-    """Every row of docs with its other columns as `in.<name>`, and n_words, n_removed and kept (words joined by one space).
+def dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, index: str | None = None, batches: int = 3, buckets: int | None = None, fan: int = 1, keep_text: bool = False
+) -> DataFrame:
+    """Every row of docs with its other columns (and with keep_text its text) as `in.<name>`, and n_words, n_removed and kept (words joined by one space).
 
-    history: runs (bucket, buckets, blob) that an earlier batch wrote to its `runs_to`; their bucket count
-    holds for this batch, and another in `buckets` fails. runs_to: where this batch writes all runs that are then valid.
+    The documents go through an index in `batches` batches by rising id: each is merge-joined with the runs of those before it.
+    index: the folder of an index that stays, for batches to come; what it holds already counts as earlier than all of docs, and
+    its bucket count, window size and hot minimisers hold. Without it the index is this call's own and goes when the last batch
+    is matched, and that batch leaves no run.
     """
-    held = None if history is None else _buckets_of(history, buckets)
+    spark, own = docs.sparkSession, index is None
+    folder = f"{checkpoint_folder(spark)}/fingerprints-{uuid.uuid4()}" if own else index
     shares = buckets or shares_for(docs, text)
-    dealt = held or shares
-    index = _index(docs.select(*_numbered(docs, shares, doc_id, text)), dealt, history, runs_to is not None, size, fan)
-    if runs_to is not None:
-        index = cut(index)
-        index.filter(F.col("kind") == RUN).select(F.col("block").alias("bucket"), F.lit(dealt).alias("buckets"), "blob").write.mode("errorifexists").parquet(runs_to)
-    return _apply(docs, index.filter(F.col("kind") == REMOVED).select("block", "blob"), shares, doc_id, text, size)
+    held = FingerprintIndex(spark, folder, shares, size, fan)
+    if not held.batch:
+        held.hot = hot_minimisers(docs, shares, text, held.size)
+    rows = docs.select(*_numbered(docs, shares, doc_id, text))
+    edges = sorted(set(docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [k / batches for k in range(1, batches)], 10000)).first()[0] or [])) if batches > 1 else []
+    removals = []
+    for k, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        inside = F.lit(True) if low is None else F.col("id") > low
+        inside = inside if high is None else inside & (F.col("id") <= high)
+        inside = inside | F.col("id").isNull() if low is None else inside
+        removals.append(held.add(rows.filter(inside), keep=not own or k < len(edges)))
+    found = removals[0]
+    for r in removals[1:]:
+        found = found.unionByName(r)
+    if own:
+        found = cut(found)
+        delete(spark, folder)
+    return _apply(docs, found, shares, doc_id, text, held.size, keep_text)

@@ -8,8 +8,10 @@ equal in some variant are candidates, and each candidate is verified on all 64 b
 Without a similarity, fingerprints within the radius are near copies. With one, two texts are near
 copies if their fingerprints are within the radius and the Jaccard similarity of their sets of `words`-word
 shingles (as 64-bit hashes) reaches it. Then real pairs travel: first a spanning forest of
-each set of equal variants is verified, and after that every pair whose texts the verified pairs have
-not joined yet, so that a large group of near copies does not send all its pairs and no pair is left out.
+each set of equal variants is verified, nearest pairs first, and after that every pair whose texts the verified
+pairs have not joined yet, so that a large group of near copies does not send all its pairs. Pairs that cannot reach
+the similarity never leave their task: sets whose sizes are too far apart, and in the second round sets whose
+counts of shingles in BINS hash classes overlap too little. Both are upper bounds, so no pair is lost.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Variants are dealt to
 buckets by their hash and travel as packed arrays; a bucket sorts them, which is the
@@ -18,6 +20,9 @@ task; sets too large to compare pair by pair are linked by sorting under every
 two-bit mask instead, which is exact and takes m log m steps. Components then grow by
 alternating stars, in tables.
 
+Exact repeats of a row count once in `keep_one`, and a text of many megabytes is hashed in pieces; both
+are whole rows to every result.
+
 Defined results: a null or wordless text has fingerprint zero, linked like any other, and is similar to
 wordless texts alone; texts with equal 64-bit hashes count as one; rows
 with a null id get a component too but never name one; repeated rows stay rows; an empty
@@ -31,16 +36,20 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, in_slices
+from .common import as_bytes, cut, in_slices, tidy
+from .word_hashes import mix, rolling
+from .word_hashes import words as word_hashes
 
 SEED = 42
 #: Sets of equal variants up to this size are compared pair by pair.
 PAIRWISE = 2048
 #: Variants in one bucket, about: where only links are made, and where pairs are.
 BUCKET, PAIR_BUCKET = 1 << 21, 1 << 18
+#: Hash classes in which shingles are counted for a bound on what two sets share.
+BINS = 128
 #: Fingerprint bits compared at once in a large set of equal variants, in pairs.
 AT_ONCE = 1 << 18
 
@@ -70,16 +79,31 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, key (64-bit hash of the text) and fp, the fingerprint as a signed long, of every document."""
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text the sorted set of 64-bit hashes of its `words`-word shingles (the whole sequence, if there are fewer words)."""
+    h, first = word_hashes([t.lower() for t in texts])
+    n = np.diff(first)
+    by_size = {k: rolling(h, k, 0x9E3779B97F4A7C15 + 2 * k) for k in {words, *(int(x) for x in np.unique(n[(n > 0) & (n < words)]))}}
+    return [np.unique(by_size[min(k, words)][s : s + max(k - words, 0) + 1]) if k else np.zeros(0, "<u8") for s, k in zip(first[:-1].tolist(), n.tolist())]
+
+
+def bins(found: np.ndarray) -> np.ndarray:
+    """How many hashes of a set fall into each of BINS classes, 255 at most."""
+    return np.minimum(np.bincount((mix(found) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 0) -> DataFrame:
+    """doc_id, key (64-bit hash of the text), fp, the fingerprint as a signed long, and n, the size of its set of `words`-word shingles, of every document."""
 
     def rows(batches):
         for b in in_slices(batches, "t"):
-            fp = np.array([fingerprint(t, shingle) for t in as_bytes(b.column("t"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
+            texts = as_bytes(b.column("t"))
+            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            n = np.array([len(s) for s in shingle_sets(texts, words)] if words else [0] * len(texts), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp), pa.array(n)], names=["doc_id", "key", "fp", "n"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(rows, f"doc_id {kind}, key long, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(rows, f"doc_id {kind}, key long, fp long, n long")
 
 
 def _key(text: str) -> Column:
@@ -198,14 +222,18 @@ def joined(fps: np.ndarray, key: np.ndarray, radius: int = 2) -> tuple[np.ndarra
     return distinct[moved], distinct[root[moved]]
 
 
-def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs a-b those that join what `label` (changed in place) has not joined yet, without a cycle; picked by chance, so that no node gets them all."""
-    chance = np.random.default_rng(len(a)).permutation(len(a))
-    a, b, kept = a[chance], b[chance], []
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs a-b those that join what `label` (changed in place) has not joined yet, without a cycle.
+
+    Pairs with the smallest `apart` come first, and else chance picks, so that no node gets them all.
+    """
+    order = np.random.default_rng(len(a)).permutation(len(a))
+    order = order if apart is None else order[np.argsort(apart[order], kind="stable")]
+    a, b, kept = a[order], b[order], []
     while True:
         low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        apart = low != high
-        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        open_ = low != high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
         if not len(a):
             return tuple(np.concatenate(c) for c in zip(*kept)) if kept else (a, b)
         moved, i = np.unique(high, return_index=True)
@@ -217,30 +245,52 @@ def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarra
         label[:] = to[label]
 
 
-def real_pairs(fps: np.ndarray, which: np.ndarray, group: np.ndarray | None, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def may_share(x: np.ndarray, y: np.ndarray, n: np.ndarray, counted: np.ndarray, bound: Fraction) -> np.ndarray:
+    """Whether sets x and y (positions) may be as similar as `bound`, by their sizes n and their counts in classes; never False for those that are."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), 1 << 16):
+        p, q = counted[x[i : i + (1 << 16)]], counted[y[i : i + (1 << 16)]]
+        low = np.minimum(p, q)
+        shared = low.sum(axis=1, dtype=np.int64)
+        # similar: shared / (n + m - shared) >= bound; a class that is full in both says nothing.
+        total = n[x[i : i + (1 << 16)]] + n[y[i : i + (1 << 16)]]
+        out[i : i + (1 << 16)] = (shared * (bound.numerator + bound.denominator) >= total * bound.numerator) | (low == 255).any(axis=1)
+    return out
+
+
+def real_pairs(
+    fps: np.ndarray, which: np.ndarray, group: np.ndarray | None, segments: int, radius: int, n: np.ndarray | None = None, bound: Fraction = Fraction(0), counted: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in one bucket that share a variant and differ in at most `radius` bits, each in one variant of all only.
 
     group: what is joined already; all pairs between different groups are given. Without it, a spanning forest of each set of equal variants.
+    n, counted: sizes of the shingle sets and their counts in classes; pairs that cannot be as similar as `bound` are left out.
     """
     key = _keys(fps, which, segments)
-    order = np.argsort(key, kind="stable")
-    fps, key, which, group = fps[order], key[order], which[order], None if group is None else group[order]
+    n = np.zeros(len(fps), np.int64) if n is None else n.astype(np.int64)
+    order = np.lexsort((n, key))
+    fps, key, which, n = fps[order], key[order], which[order], n[order]
+    group, counted = None if group is None else group[order], None if counted is None else counted[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
     count = np.diff(np.append(start, len(key)))
     label, a, b = np.arange(len(key)), [], []
 
     def take(x: np.ndarray, y: np.ndarray, within: slice) -> None:
+        """x holds the smaller sets, as a set of equal variants is in the order of n."""
         differ = fps[x] ^ fps[y]
-        near = np.bitwise_count(differ) <= radius
-        x, y = x[near], y[near]
-        mine = _owner(differ[near], segments) == which[x]
-        x, y = x[mine], y[mine]
+        keep = (np.bitwise_count(differ) <= radius) & (n[x] * bound.denominator >= n[y] * bound.numerator)
+        x, y, differ = x[keep], y[keep], differ[keep]
+        mine = _owner(differ, segments) == which[x]
+        x, y, differ = x[mine], y[mine], differ[mine]
         if group is not None:
             apart = group[x] != group[y]
             x, y = x[apart], y[apart]
+            if counted is not None:
+                near = may_share(x, y, n, counted, bound)
+                x, y = x[near], y[near]
         elif len(x):
             part = label[within] - within.start
-            x, y = (k + within.start for k in spanning(x - within.start, y - within.start, part))
+            x, y = (k + within.start for k in spanning(x - within.start, y - within.start, part, np.bitwise_count(differ)))
             label[within] = part + within.start
         a.append(order[x])
         b.append(order[y])
@@ -252,13 +302,25 @@ def real_pairs(fps: np.ndarray, which: np.ndarray, group: np.ndarray | None, seg
             break
         take(i, i + d, slice(0, len(key)))
     for s, c in zip(start[count > 32].tolist(), count[count > 32].tolist()):
-        rows = max(1, AT_ONCE // c)
-        for i in range(0, c, rows):
-            x, y = np.nonzero(np.bitwise_count(fps[s + i : s + min(i + rows, c), None] ^ fps[None, s + i : s + c]) <= radius)
+        # Sorted by n, so that the sets that may be as similar as the bound to one follow it closely.
+        reach = np.searchsorted(n[s : s + c] * bound.numerator, n[s : s + c] * bound.denominator, "right")
+        i = 0
+        while i < c:
+            rows = min(c - i, max(1, AT_ONCE // max(1, int(reach[i]) - i)))
+            to = int(reach[i + rows - 1])
+            x, y = np.nonzero(np.bitwise_count(fps[s + i : s + i + rows, None] ^ fps[None, s + i : s + to]) <= radius)
             take((x + s + i)[x < y], (y + s + i)[x < y], slice(s, s + c))
+            i += rows
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _plain(column: pa.Array) -> np.ndarray:
+    """Numbers as they are; BINS counts as rows of bytes."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int, bucket: int) -> DataFrame:
     """bucket, the named columns (fp first) and which, packed: every node 64 times, dealt by the keys of its variants, about `bucket` of them together; n: rows of nodes."""
     buckets = max(1, -(-64 * n // bucket))
@@ -266,7 +328,7 @@ def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int, bucket:
     def deal(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1 << 13):
-                held = [b.column(c).slice(i, 1 << 13).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
+                held = [_plain(b.column(c).slice(i, 1 << 13)) for c in columns]
                 _, which, key = variants(held[0], segments)
                 to = (_spread(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -281,7 +343,8 @@ def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int, bucket:
 
 
 def _unpacked(t: pa.Table, *columns: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8 if c == "which" else "<u8") for c in columns]
+    raw = {c: b"".join(t.column(c).to_pylist()) for c in columns}
+    return [np.frombuffer(raw[c], np.uint8).reshape(-1, BINS) if c == "counted" else np.frombuffer(raw[c], np.uint8 if c == "which" else "<u8") for c in columns]
 
 
 def links(nodes: DataFrame, n: int, segments: int = 2, radius: int = 2) -> DataFrame:
@@ -295,16 +358,17 @@ def links(nodes: DataFrame, n: int, segments: int = 2, radius: int = 2) -> DataF
     return _dealt(nodes, n, ["fp"], segments, BUCKET).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
-def candidates(nodes: DataFrame, n: int, segments: int, radius: int, grouped: bool) -> DataFrame:
-    """Pairs (a, b) of keys, as `real_pairs` gives them, of nodes (fp, key and, if grouped, the group)."""
-    columns = ["fp", "key", *(["group"] if grouped else [])]
+def candidates(nodes: DataFrame, many: int, segments: int, radius: int, least: float, grouped: bool) -> DataFrame:
+    """Pairs (a, b) of keys, as `real_pairs` gives them, of nodes (fp, key, n and, if grouped, the group and counted); many: rows of nodes."""
+    columns, bound = ["fp", "key", "n", *(["group", "counted"] if grouped else [])], Fraction(str(least))
 
     def match(t: pa.Table) -> pa.Table:
-        fps, which, key, *group = _unpacked(t, "fp", "which", *columns[1:])
-        x, y = real_pairs(fps, which, group[0] if grouped else None, segments, radius)
+        fps, which, key, n, *more = _unpacked(t, "fp", "which", *columns[1:])
+        group, counted = more if grouped else (None, None)
+        x, y = real_pairs(fps, which, group, segments, radius, n, bound, counted)
         return pa.table({"a": key[x].view(np.int64), "b": key[y].view(np.int64)})
 
-    return _dealt(nodes, n, columns, segments, PAIR_BUCKET).groupBy("bucket").applyInArrow(match, "a long, b long")
+    return _dealt(nodes, many, columns, segments, PAIR_BUCKET).groupBy("bucket").applyInArrow(match, "a long, b long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -332,18 +396,22 @@ def stars(edges: DataFrame) -> DataFrame:
     centre of a large star is no hot group.
     """
     edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.groupBy("a").agg(F.min("b").alias("b"))).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         edges = cut(small)
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if state == (row["n"], row["x"]):
-            return edges
-        state = (row["n"], row["x"])
+    return edges
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself: then these are the components."""
+    twice = edges.groupBy("a").count().filter("count > 1").select("a")
+    between = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    with tidy(edges.sparkSession):
+        return not twice.union(between).take(1)
 
 
 def components(fps: DataFrame, segments: int = 2, radius: int = 2) -> DataFrame:
@@ -361,25 +429,36 @@ def _least(nodes: DataFrame, root: DataFrame, node: str) -> DataFrame:
 
 def similar_components(docs: DataFrame, fps: DataFrame, doc_id: str, text: str, segments: int, radius: int, similarity: float, words: int) -> DataFrame:
     """key (of a text) and component_id over all pairs of texts within the radius that are similar enough."""
-    nodes = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    pairs = cut(candidates(nodes, nodes.count(), segments, radius, False))
+    nodes = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")))
+    pairs = cut(candidates(nodes, nodes.count(), segments, radius, similarity, False))
     # A text in any pair is in one of the forests, so nothing else needs to be read again.
     met = cut(nodes.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi"))
 
     def rows(batches):
         for b in in_slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([np.unique(shingles(t, words)).tobytes() for t in as_bytes(b.column("t"))], pa.binary())], names=["key", "s"])
+            found = shingle_sets(as_bytes(b.column("t")), words)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bins(s).tobytes() for s in found], pa.binary())], names=["key", "s", "counted"])
 
     # Of equal texts the one with the least id is read, so that a text with many copies is no hot key.
     texts = docs.select(F.col(doc_id).alias("least"), _key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     one = texts.join(met.select("least", "key"), (texts["least"].eqNullSafe(met["least"])) & (texts["key"] == met["key"]), "left_semi")
-    sets = cut(one.select("key", "t").mapInArrow(rows, "key long, s binary").dropDuplicates(["key"]))
+    sets = cut(one.select("key", "t").mapInArrow(rows, "key long, s binary, counted binary").dropDuplicates(["key"]))
     found = cut(similar(pairs, sets, similarity))
-    group = met.join(stars(found).withColumnRenamed("a", "key"), "key", "left").select("fp", "key", F.coalesce("b", "key").alias("group"))
-    rest = cut(candidates(group, met.count(), segments, radius, True)).join(pairs, ["a", "b"], "left_anti")
+    group = met.join(stars(found).withColumnRenamed("a", "key"), "key", "left").select("fp", "key", "n", F.coalesce("b", "key").alias("group")).join(sets.select("key", "counted"), "key")
+    rest = cut(candidates(group, met.count(), segments, radius, similarity, True)).join(pairs, ["a", "b"], "left_anti")
     return _least(nodes.select("key", "least"), stars(found.union(similar(rest, sets, similarity))), "key")
 
 
+def _found(docs: DataFrame, doc_id: str, text: str, shingle: int, segments: int, radius: int, similarity: float | None, words: int) -> DataFrame:
+    """doc_id, key, fp and component_id of every document."""
+    if not 0 <= radius <= 2 * segments - 1:
+        raise ValueError(f"{segments} segments find fingerprints within {2 * segments - 1} bits, not {radius}")
+    fps = cut(fingerprints(docs, doc_id, text, shingle, 0 if similarity is None else words))
+    if similarity is None:
+        return fps.join(components(fps, segments, radius), "fp")
+    return fps.join(similar_components(docs, fps, doc_id, text, segments, radius, similarity, words), "key")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, segments: int = 6, radius: int = 11, similarity: float | None = 0.8, words: int = 5
 ) -> DataFrame:
@@ -388,27 +467,22 @@ def near_duplicates(
     radius: bits in which fingerprints of near copies may differ, 2 * segments - 1 at most. With a similarity, only texts
     whose sets of `words`-word shingles are as similar as that are near copies.
     """
-    if not 0 <= radius <= 2 * segments - 1:
-        raise ValueError(f"{segments} segments find fingerprints within {2 * segments - 1} bits, not {radius}")
-    fps = cut(fingerprints(docs, doc_id, text, shingle))
-    if similarity is None:
-        found = fps.join(components(fps, segments, radius), "fp")
-    else:
-        found = fps.join(similar_components(docs, fps, doc_id, text, segments, radius, similarity, words), "key")
+    found = _found(docs, doc_id, text, shingle, segments, radius, similarity, words)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **contract) -> DataFrame:
-    """docs without the near copies: of each component the rows with its smallest id stay, exact repeats of those once.
-
-    contract: what `near_duplicates` takes beside the columns.
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, segments: int = 6, radius: int = 11, similarity: float | None = 0.8, words: int = 5
+) -> DataFrame:
+    """docs without the near copies: of each component the rows with its smallest id stay, rows that repeat another in id and text once (which of them is open).
 
-    Rows with a null id cannot be named as copies and stay.
+    Rows with a null id cannot be named as copies and stay. All columns are kept, whatever their names.
     """
-    from pyspark.sql import Window
-
+    row = F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns))).alias("row")
     named = docs.filter(F.col(doc_id).isNotNull())
-    chosen = near_duplicates(named, doc_id, text, **contract).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    order = Window.partitionBy(doc_id, "_text").orderBy("_text")
-    one = named.join(chosen, named[doc_id] == chosen["_kept"], "left_semi").withColumn("_text", F.xxhash64(text)).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return one.select(docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    chosen = _found(named, doc_id, text, shingle, segments, radius, similarity, words).filter("doc_id = component_id").select("doc_id", "key").distinct()
+    # The texts are dealt once, by id and text; both the join and the choice among repeats are content with that.
+    packed = named.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), row)
+    first = Window.partitionBy("doc_id", "key").orderBy(F.lit(0))
+    one = packed.join(chosen, ["doc_id", "key"], "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return one.select(*(F.col(f"row._{i}").alias(c) for i, c in enumerate(docs.columns))).unionByName(docs.filter(F.col(doc_id).isNull()))

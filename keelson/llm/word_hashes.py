@@ -20,8 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text where its words begin (one more entry at the end)."""
+def words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text where its words begin (one more entry at the end).
+
+    Another seed gives hashes in which other words collide.
+    """
     raw = b" ".join(texts) + b" " * 9
     data = np.frombuffer(raw, np.uint8)
     gap = _SPACE[data]
@@ -34,6 +37,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = ends - starts
     lanes = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
     h = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if seed:
+        h = mix(h + np.uint64(seed))
     live, at8 = np.flatnonzero(n <= _LONG), 0
     while len(live):
         left = n[live] - at8
@@ -44,7 +49,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at8 += 8
         live = live[n[live] > at8]
     for i in np.flatnonzero(n > _LONG):
-        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]], 7)
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]], 7 + seed)
     return h, first
 
 

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 import re
 
 import duckdb
@@ -147,6 +148,28 @@ def test_near_copies_are_similar_texts_within_the_radius(spark):
         simhash.near_duplicates(docs(spark, rows), segments=2, radius=4)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([f"w{k}" for k in range(9)]), max_size=40).map(" ".join), min_size=2, max_size=12), st.sampled_from(["0.8", "0.5"]))
+def test_bounds_keep_all_similar_pairs(texts, least):
+    sets = simhash.shingle_sets([t.encode() for t in texts], 5)
+    assert [len(s) for s in sets] == [len(shingle_set(t)) if t.split() else 0 for t in texts]
+    n, counted, bound = np.array([len(s) for s in sets]), np.stack([simhash.bins(s) for s in sets]), Fraction(least)
+    x, y = np.triu_indices(len(texts), 1)
+    may = simhash.may_share(x, y, n, counted, bound)
+    assert all(ok for i, j, ok in zip(x, y, may) if len(shingle_set(texts[i]) & shingle_set(texts[j])) >= bound * len(shingle_set(texts[i]) | shingle_set(texts[j])))
+
+
+def test_full_classes_say_nothing():
+    wide = simhash.bins(np.arange(200_000, dtype=np.uint64))
+    assert (wide == 255).all() and simhash.may_share(np.array([0]), np.array([1]), np.array([200_000] * 2), np.stack([wide] * 2), Fraction("0.8")).all()
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", "x", 1, "p"), (1, "a b c", "x", 1, "p"), (2, "a b c", "y", 2, "q"), (3, "", None, 3, None), (None, None, "z", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, key long, `row` string")
+    assert sorted(simhash.keep_one(df).collect(), key=str) == sorted(spark.createDataFrame([rows[0], rows[3], rows[4]], df.schema).collect(), key=str)
+
+
 # Substring dedup.
 
 
@@ -212,38 +235,89 @@ def test_null_ids_and_repeats(spark):
     assert fingerprint_index.dedup(docs(spark, [])).count() == 0
 
 
-def test_batches_with_an_index_equal_one_pass(spark, tmp_path):
+def results(df):
+    return {r["in.doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("fan", [1, 2, 9])
+def test_batches_through_an_index_equal_one_pass(spark, tmp_path, fan):
     rows = sorted(passages(5, 80))
     whole = {i: x for (i, _), x in zip(rows, oracle([t for _, t in rows]))}
-    got, history = {}, None
-    for k in range(4):
-        batch = docs(spark, rows[20 * k : 20 * k + 20])
-        found = fingerprint_index.dedup(batch, buckets=3, history=history, runs_to=str(tmp_path / str(k)), fan=2)
-        got |= {r["in.doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found.collect()}
-        history = spark.read.parquet(str(tmp_path / str(k)))
-        assert history.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
+    assert results(fingerprint_index.dedup(docs(spark, rows[::-1]), buckets=3, fan=fan, batches=4)) == whole
+    got, folder = {}, str(tmp_path / "index")
+    for k in range(4):  # an index that stays is opened again for every batch
+        got |= results(fingerprint_index.dedup(docs(spark, rows[20 * k : 20 * k + 20]), index=folder, batches=1, buckets=3 + k, fan=fan))
+        held = fingerprint_index.FingerprintIndex(spark, folder)
+        assert held.batch == k + 1 and held.buckets == 3 and 1 <= len(held.runs) <= fan
     assert got == whole
-    for blob in history.select("blob").toPandas().blob:
-        key, _ = fingerprint_index._unpack(blob, "<u8", "<u8")
-        assert (key[1:] >= key[:-1]).all()
-
-
-def test_batches_of_other_sizes_use_the_buckets_of_the_index(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(fingerprint_index, "SHARE", 4000)
-    rows = sorted(passages(6, 80))
-    want, got, history, asked = oracle([t for _, t in rows]), [], None, set()
-    for k, (i, j) in enumerate([(0, 50), (50, 55), (55, 80)]):
-        batch = docs(spark, rows[i:j])
-        asked.add(fingerprint_index.shares_for(batch))
-        found = fingerprint_index.dedup(batch, history=history, runs_to=str(tmp_path / str(k)))
-        got += sorted((r["in.doc_id"], (r["n_words"], r["n_removed"], r["kept"])) for r in found.collect())
-        history = spark.read.parquet(str(tmp_path / str(k)))
-    assert len(asked) > 1 and history.select("buckets").distinct().count() == 1
-    assert [x for _, x in got] == want
-    with pytest.raises(ValueError):
-        fingerprint_index.dedup(docs(spark, rows[:2]), history=history, buckets=1)
-    with pytest.raises(ValueError):
-        fingerprint_index.dedup(docs(spark, rows[:2]), history=history.drop("buckets"))
+    for r in held.history().collect():
+        key, offset, count, check = fingerprint_index._read_run(r["blob"])
+        assert (key[1:] >= key[:-1]).all() and len(check) == count.sum()
+
+
+def test_a_batch_without_a_commit_is_repeated(spark, tmp_path, monkeypatch):
+    rows, folder = sorted(passages(7, 60)), str(tmp_path / "index")
+    whole = {i: x for (i, _), x in zip(rows, oracle([t for _, t in rows]))}
+    step = lambda part: results(fingerprint_index.dedup(docs(spark, part), index=folder, batches=1, buckets=2))
+    got = step(rows[:30])
+    with monkeypatch.context() as m:
+        m.setattr(fingerprint_index, "COMMIT", "no such type")
+        with pytest.raises(Exception):
+            step(rows[30:])
+    got |= step(rows[30:])
+    assert got == whole and fingerprint_index.FingerprintIndex(spark, folder).batch == 2
+
+
+def test_runs_that_outgrow_their_buckets_are_dealt_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprint_index, "GROWN", 2000)
+    rows, folder, got = sorted(passages(6, 80)), str(tmp_path / "index"), {}
+    for i, j in [(0, 50), (50, 55), (55, 60), (60, 80)]:
+        got |= results(fingerprint_index.dedup(docs(spark, rows[i:j]), index=folder, batches=1, buckets=1))
+    assert fingerprint_index.FingerprintIndex(spark, folder).buckets > 1
+    assert got == {i: x for (i, _), x in zip(rows, oracle([t for _, t in rows]))}
+
+
+def test_a_line_in_all_documents_does_not_fill_one_bucket(spark):
+    rng = random.Random(3)
+    line = " ".join(f"b{k}" for k in range(19))
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = [(i, " ".join([word() for _ in range(25)] + [line] + [word() for _ in range(25)])) for i in range(2000)]
+    rows += [(2000 + i, rows[i][1]) for i in range(0, 60, 3)]
+    df, buckets = docs(spark, rows), 256
+    hot = fingerprint_index.hot_minimisers(df, buckets)
+    assert 0 < len(hot) <= 4 * buckets
+    texts = [t.encode() for _, t in rows]
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    def most(hot):
+        held = [0] * buckets
+        for b, kind, _, blob in fingerprint_index.scan(texts, ids, zero, zero, buckets, np.array(hot, np.int64).view(np.uint64)):
+            if kind == fingerprint_index.RECORDS:
+                held[b] += len(fingerprint_index._unpack(blob, *["<i8", "<u4", "<u4", "<u4", "<u8"])[4])
+        return max(held), sorted(held)[buckets // 2]
+    assert most([])[0] > 20 * most([])[1] and most(hot)[0] < 3 * most(hot)[1]
+    got = results(fingerprint_index.dedup(df, buckets=buckets))
+    assert got == {i: x for (i, _), x in zip(rows, oracle([t for _, t in rows]))}
+
+
+def test_very_long_and_many_null_texts(spark):
+    long = " ".join(f"w{k % 70000}" for k in range(150_000))
+    rows = [(1, long), (2, None), (3, None), (4, " ".join(f"w{k}" for k in range(100, 160)))]
+    got = results(fingerprint_index.dedup(docs(spark, rows)))
+    assert got[1][:2] == (150_000, 80_000) and got[2] == got[3] == (0, 0, "") and got[4] == (60, 60, "")
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2, "y"), (2, None, None, None, None)], "doc_id long, text string, whole string, block int, `in.text` string")
+    found = fingerprint_index.dedup(df, keep_text=True)
+    assert sorted(found.select(*(f"`in.{c}`" for c in df.columns)).collect()) == sorted(df.collect())
+
+
+def test_merge_join():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.sort(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(2))
+        x, y = fingerprint_index.meeting(a, b)
+        assert x.tolist() == np.isin(a, b).tolist() and y.tolist() == np.isin(b, a).tolist()
 
 
 def test_query_against_sql(spark):
