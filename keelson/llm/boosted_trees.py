@@ -5,9 +5,10 @@ cut into at most `bins` quantile bins and every level of a tree is grown from
 histograms of gradients. A model is three flat arrays (feature, threshold, leaf),
 so that a batch of documents walks all trees at once in numpy.
 
-Defined results: null texts count as empty; empty texts get a score too; label rows
-that are null, or whose document is missing, teach nothing; with no usable label
-rows every score is 0.5; null ids and repeated rows are rows of their own.
+Defined results: null texts count as empty; empty texts get a score too; a text of any length is measured whole; label rows
+that are null, or whose document is missing, teach nothing; a document or label that is repeated teaches once for each
+pair of rows, within the bound; with no usable label rows every score is 0.5; null ids and repeated rows are scored as rows
+of their own; an empty table gives no rows; columns other than id and text are ignored, and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -110,10 +111,10 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Forest:
-    """Fit on at most `most` labelled rows, those with the smallest seeded hash of their id.
+    """Fit on at most `most` pairs of a label and a document, those with the smallest seeded hashes of id, label and features.
 
-    Only the features of that sample (a few numbers a row) reach the driver. Rows that
-    `held_out` marks are left out. Labelled ids are broadcast: `most` bounds them.
+    Only the features of that sample (a few numbers a row) reach the driver: the bound holds after the join, however often an id
+    is repeated. Rows that `held_out` marks are left out. Labelled ids are broadcast: `most` bounds them too.
     """
     taught = (
         labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -133,6 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "
         .join(F.broadcast(taught), "_id")
         .select("_id", "_y", "t")
         .mapInArrow(rows, f"_id {kind}, _y int, x array<double>")
+        .orderBy(F.xxhash64(F.lit(17), "_id"), "_id", "_y", F.xxhash64("x"))
+        .limit(most)
         .collect()
     )
     found.sort(key=lambda r: (r["_id"], r["_y"], r["x"]))

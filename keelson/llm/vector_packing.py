@@ -1,8 +1,8 @@
 """Best-fit packing of documents into training sequences under several capacities.
 
-A sequence holds at most `tokens` tokens, `docs` pieces and `cost` units of attention
-(the sum of squared piece lengths). Pieces come in order of falling length; each goes to
-the open sequence, among those with room in every capacity, whose weighted residual norm
+A sequence holds at most `tokens` tokens, `docs` pieces and `cost` tiles of causal attention: a piece of n tokens
+touches t (t + 1) / 2 tiles, t = n / TILE rounded up, so short pieces cost more than their share. Pieces come in order of
+falling length; each goes to the open sequence, among those with room in every capacity, whose weighted residual norm
 after the piece is smallest (rule "norm") or whose residual has the largest weighted dot
 product with the piece ("dot"); if none has room a new one opens.
 
@@ -12,7 +12,8 @@ then only lengths and checksums travel, to groups of about GROUP documents dealt
 hash of all that travels, so no key can make one group large.
 
 Defined results: a null or empty text is the end token alone; null ids and repeated rows
-are packed as rows of their own; an empty table gives no rows; other columns are ignored.
+are packed as rows of their own; pieces of one length come in the order of their ids; a text of any length is
+tokenised whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ from .common import cut, in_slices
 
 #: Documents packed together, about.
 GROUP = 32768
+#: Tokens along a side of a tile of attention.
+TILE = 128
+#: Pieces in a sequence at most, and tiles of attention beyond those of one full piece.
+DOCS, SPARE = 32, 1
+#: Weights of the residuals of tokens, documents and tiles.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -128,24 +135,30 @@ def tokenized(docs: DataFrame, path: str, most: int, end: int, doc_id: str = "do
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(rows, f"doc_id {kind}, n long, crcs array<long>")
 
 
-def best_fit(lengths: np.ndarray, tokens: int, docs: int, cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each piece. Lengths must be at most `tokens`, and their squares at most `cost`."""
+def tiles(lengths):
+    """Tiles of causal attention that pieces of these lengths touch."""
+    t = -(-lengths // TILE)
+    return t * (t + 1) // 2
+
+
+def best_fit(lengths: np.ndarray, tokens: int, docs: int, cost: int, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each piece. Lengths must be at most `tokens`, and their tiles at most `cost`."""
     caps, w = np.array([tokens, docs, cost], dtype=float), np.array(weights)
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     room, name = np.empty((3, 1024)), np.empty(1024, np.int64)
     opened = live = 0
     shortest = lengths.min(initial=tokens)
+    sizes = np.stack([lengths, np.ones_like(lengths), tiles(lengths)]).astype(float)
     for k, i in enumerate(np.argsort(-lengths, kind="stable").tolist()):
-        n = int(lengths[i])
-        size = np.array([n, 1.0, float(n) * n])
+        size = sizes[:, i : i + 1]
         now = room[:, :live]
-        fits = np.flatnonzero((now[0] >= n) & (now[1] >= 1) & (now[2] >= size[2]))
+        fits = np.flatnonzero((now >= size).all(axis=0))
         if len(fits):
             left = now[:, fits]
             if rule == "norm":
-                rank = w @ (((left - size[:, None]) / caps[:, None]) ** 2)
+                rank = w @ (((left - size) / caps[:, None]) ** 2)
             else:
-                rank = -(w * size / caps) @ (left / caps[:, None])
+                rank = -(w * size[:, 0] / caps) @ (left / caps[:, None])
             j = int(fits[rank.argmin()])
         else:
             if live == room.shape[1]:
@@ -154,22 +167,25 @@ def best_fit(lengths: np.ndarray, tokens: int, docs: int, cost: int, rule: str =
             room[:, j], name[j] = caps, opened
             opened += 1
         bins[i], offsets[i] = name[j], tokens - room[0, j]
-        room[:, j] -= size
+        room[:, j] -= size[:, 0]
         if k % 512 == 511:  # sequences that nothing fits any more are closed
-            open_ = np.flatnonzero((room[0, :live] >= shortest) & (room[1, :live] >= 1) & (room[2, :live] >= float(shortest) ** 2))
+            open_ = np.flatnonzero((room[0, :live] >= shortest) & (room[1, :live] >= 1) & (room[2, :live] >= tiles(shortest)))
             room[:, : len(open_)], name[: len(open_)], live = room[:, open_], name[open_], len(open_)
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, tokens: int = 1024, max_docs: int | None = None, max_cost: int | None = None, end: int = 2, rule: str = "norm", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, tokens: int = 1024, max_docs: int = DOCS, max_cost: int | None = None, end: int = 2, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The defaults of max_docs and max_cost are the most that `tokens` tokens can need, so that
-    they never cost a sequence; lower ones bind. max_cost must leave room for a full piece.
+    max_cost (in tiles) must leave room for a full piece; by default it is that and SPARE tiles. Both it and max_docs bind
+    where many short documents would share a sequence.
     """
-    most_docs, most_cost = max_docs or tokens, max_cost or tokens * tokens
-    if most_cost < tokens * tokens:
-        raise ValueError("max_cost must be at least tokens ** 2, the cost of a full piece")
+    most_docs, most_cost = max_docs, max_cost or int(tiles(tokens)) + SPARE
+    if most_cost < tiles(tokens):
+        raise ValueError(f"max_cost must be at least {tiles(tokens)} tiles, those of a full piece")
     items = cut(tokenized(docs, path, tokens, end, doc_id, text))
     groups = max(1, -(-items.count() // GROUP))
     kind = items.schema["doc_id"].dataType.simpleString()
@@ -186,7 +202,7 @@ def pack(docs: DataFrame, path: str, tokens: int = 1024, max_docs: int | None =
         length = np.where(piece == 0, head[row], tokens)
         part = length < tokens
         bins, offset = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        bins[part], offset[part] = best_fit(length[part], tokens, most_docs, most_cost, rule)
+        bins[part], offset[part] = best_fit(length[part], tokens, most_docs, most_cost, rule, weights)
         bins[~part] = bins[part].max(initial=-1) + 1 + np.arange((~part).sum())
         at = t.column("g")[0].as_py()
         return pa.table(

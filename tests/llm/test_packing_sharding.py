@@ -1,14 +1,16 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keelson.llm import interleave, vector_packing
+from keelson.llm import interleave, queries, vector_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DDL = "doc_id long, text string, source string, h int, b int, g string, r int"
@@ -41,23 +43,69 @@ def test_empty_tables(spark):
     assert interleave.interleave(docs(spark, [])).count() == 0
 
 
+def plain_best_fit(lengths, caps, rule, weights):
+    """Every open sequence is tried for every piece, one after the other."""
+    tile = lambda n: sum(range(1, -(-n // 128) + 1))
+    room, bins = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        size, best = (lengths[i], 1, tile(lengths[i])), None
+        for j, left in enumerate(room):
+            if all(a >= b for a, b in zip(left, size)):
+                if rule == "norm":
+                    rank = sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(weights, left, size, caps))
+                else:
+                    rank = -sum(w * b / c * a / c for w, a, b, c in zip(weights, left, size, caps))
+                if best is None or rank < best[0] - 1e-12:
+                    best = rank, j
+        if best is None:
+            room.append(list(caps))
+            best = 0, len(room) - 1
+        bins[i] = best[1]
+        room[best[1]] = [a - b for a, b in zip(room[best[1]], size)]
+    return [bins[i] for i in range(len(lengths))]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 5), st.integers(10_000, 20_000), st.sampled_from(["norm", "dot"]))
+@given(st.lists(st.integers(1, 1000), max_size=60), st.integers(1, 5), st.integers(36, 60), st.sampled_from(["norm", "dot"]))
 def test_every_capacity_holds(lengths, most, cost, rule):
     n = np.array(lengths, np.int64)
-    bins, offsets = vector_packing.best_fit(n, 100, most, cost, rule)
+    bins, offsets = vector_packing.best_fit(n, 1000, most, cost, rule)
     for b in set(bins.tolist()):
         own = n[bins == b]
-        assert own.sum() <= 100 and len(own) <= most and (own**2).sum() <= cost
+        assert own.sum() <= 1000 and len(own) <= most and vector_packing.tiles(own).sum() <= cost
         order = np.argsort(offsets[bins == b])
         assert offsets[bins == b][order].tolist() == [0, *own[order].cumsum().tolist()[:-1]]
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_choices_are_those_of_a_plain_loop(rule):
+    rng = random.Random(8)
+    for many in (5, 40, 700):
+        lengths = [rng.choice([rng.randrange(1, 40), rng.randrange(1, 1024)]) for _ in range(many)]
+        caps = (1024, 12, 37)
+        bins, _ = vector_packing.best_fit(np.array(lengths), *caps, rule)
+        assert bins.tolist() == plain_best_fit(lengths, caps, rule, vector_packing.WEIGHTS)
+
+
+def test_all_capacities_bind_on_the_documents(spark):
+    """The query's own capacities refuse pieces that have room by tokens, and cost two sequences at most over the least number."""
+    got = vector_packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), PATH).toPandas()
+    least = -(-got.length.sum() // 1024)
+    n = np.sort(got.length[got.length < 1024].to_numpy())[::-1]
+    one = vector_packing.best_fit(n, 1024, 10**6, 10**6, weights=(1.0, 0.0, 0.0))[0]
+    free_docs, free_cost = (vector_packing.best_fit(n, 1024, *caps)[0] for caps in ((10**6, 37), (32, 10**6)))
+    bound = vector_packing.best_fit(n, 1024, 32, 37)[0]
+    assert (bound != one).sum() > 300 and (bound != free_docs).any() and (bound != free_cost).any()
+    assert got.sequence_id.nunique() <= least + 2 and bound.max() <= one.max() + 1
+    each = got.groupby("sequence_id").length
+    assert each.size().max() == 32 and each.apply(lambda x: vector_packing.tiles(x).sum()).max() == 37
+
+
 def test_a_capacity_that_binds_opens_more_sequences(spark):
-    free, bound = (vector_packing.pack(docs(spark, ROWS), PATH, tokens=256, max_docs=k).toPandas() for k in (None, 2))
+    free, bound = (vector_packing.pack(docs(spark, ROWS), PATH, tokens=256, max_docs=k).toPandas() for k in (99, 2))
     assert bound.groupby("sequence_id").size().max() <= 2 and bound.sequence_id.nunique() > free.sequence_id.nunique()
     with pytest.raises(ValueError):
-        vector_packing.pack(docs(spark, ROWS), PATH, tokens=256, max_cost=5)
+        vector_packing.pack(docs(spark, ROWS), PATH, tokens=256, max_cost=2)
 
 
 @settings(max_examples=40, deadline=None)
@@ -87,13 +135,53 @@ def test_shards_match_the_mixture(spark):
         assert (r.size, r.text_crc32) == (len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode()))
 
 
-def test_interleaving_equals_a_plain_sort(spark, monkeypatch):
-    whole = interleave.interleave(docs(spark, ROWS), shards=5, seed=3).toPandas()
-    monkeypatch.setattr(interleave, "RANGE", 9)
-    cut = interleave.interleave(docs(spark, ROWS), shards=5, seed=3).toPandas()
-    key = ["doc_id", "source", "shard", "slot"]
-    assert whole.sort_values(["shard", "slot"])[key].reset_index(drop=True).equals(cut.sort_values(["shard", "slot"])[key].reset_index(drop=True))
-    assert not interleave.interleave(docs(spark, ROWS), shards=5, seed=4).toPandas().sort_values(["shard", "slot"])[key].reset_index(drop=True).equals(whole.sort_values(["shard", "slot"])[key].reset_index(drop=True))
+def plain_interleave(spark, rows, shards, seed):
+    """Sources shuffled by the seeded hash, all rows in one list by fractional rank, the list cut into equal stretches."""
+    df = spark.createDataFrame([(k, i, zlib.crc32((t or "").encode()), s) for k, (i, t, s) in enumerate(rows)], "k int, doc_id long, crc long, source string")
+    hashed = df.select("k", "doc_id", "crc", "source", F.xxhash64(F.lit(seed), "doc_id", "crc").alias("h"), F.xxhash64("source").alias("sh")).collect()
+    by_source = {}
+    for r in hashed:
+        by_source.setdefault(r["source"], []).append(r)
+    listed = []
+    low = lambda x: (x is not None, x if x is not None else 0)
+    for source, own in by_source.items():
+        own.sort(key=lambda r: (r["h"], low(r["doc_id"]), r["crc"]))
+        listed += [(Fraction(2 * k + 1, 2 * len(own)), r["sh"], k, r) for k, r in enumerate(own)]
+    listed.sort(key=lambda x: x[:3])
+    n, out = len(listed), {}
+    for g, (*_, r) in enumerate(listed):
+        shard = g * shards // n
+        first = -(-shard * n // shards)
+        out.setdefault((r["doc_id"], r["source"], r["crc"]), []).append((shard, g - first))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed,wide", [(3, 9), (3, 2048), (4, 1)])
+def test_interleaving_equals_a_plain_sort(spark, monkeypatch, seed, wide):
+    monkeypatch.setattr(interleave, "RANGE", wide)
+    got = {}
+    for r in interleave.interleave(docs(spark, ROWS), shards=5, seed=seed).collect():
+        got.setdefault((r["doc_id"], r["source"], r["text_crc32"]), []).append((r["shard"], r["slot"]))
+    assert {k: sorted(v) for k, v in got.items()} == plain_interleave(spark, ROWS, 5, seed)
+
+
+def test_the_query_equals_a_plain_interleaving(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {}
+    for r in queries.QUERIES["op8_interleave"](spark, sf).collect():
+        assert r["law"] == "rows" and r["grown_shard"] is None
+        got.setdefault((r["doc_id"], r["source"], r["text_crc32"]), []).append((r["shard"], r["slot"]))
+    assert {k: sorted(v) for k, v in got.items()} == plain_interleave(spark, rows, 16, 11)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = "word and more words " * 120_000
+    df = spark.createDataFrame([(1, long, "a", 1, 2, 3), (2, None, None, None, None, None)], "doc_id long, text string, source string, size int, shard int, _n int")
+    got = {r["doc_id"]: r for r in interleave.interleave(df, shards=2).collect()}
+    assert got[1]["size"] == len(long) + 1 and got[2]["size"] == 1 and {r["slot"] for r in got.values()} == {0}
+    packed = vector_packing.pack(df, PATH).toPandas()
+    assert packed[packed.doc_id == 1].length.sum() > 400_000 and (packed.doc_id == 2).sum() == 1
 
 
 def test_one_source_and_fewer_rows_than_shards(spark):

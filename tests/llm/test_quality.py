@@ -41,21 +41,26 @@ def test_base_counts(text):
 
 
 def test_expectation_maximisation_finds_the_faults():
+    """Four faults that two rules each see, nine times in ten; one rule of each pair also blames a tenth of the good documents."""
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.9
-    v = np.full((20_000, 4), weak_rules.GOOD)
-    fault = rng.integers(0, 4, 20_000)
-    for r in range(4):
-        v[~truth & (fault == r), r] = weak_rules.BAD
+    v = np.full((20_000, 8), weak_rules.GOOD)
+    fault, loose = rng.integers(0, 4, 20_000), np.arange(8) % 2 == 1
+    for r in range(8):
+        v[~truth & (fault == r // 2) & (rng.random(20_000) < 0.9), r] = weak_rules.BAD
+        v[truth & (rng.random(20_000) < (0.1 if loose[r] else 0.0005)), r] = weak_rules.BAD
         v[rng.random(20_000) < 0.1, r] = weak_rules.NONE
-        v[truth & (rng.random(20_000) < 0.0005), r] = weak_rules.BAD
     code, n = np.unique(weak_rules.codes(v), return_counts=True)
-    pattern = weak_rules.decode(code, 4)
+    pattern = weak_rules.decode(code, 8)
     assert (weak_rules.codes(pattern) == code).all()
-    share, table = weak_rules.fit(pattern, n.astype(float))
+    share, table = weak_rules.fit(pattern, n.astype(float), family=np.arange(8) // 2)
     p = dict(zip(code, weak_rules._posterior(pattern, share, table)))
     kept = np.array([p[c] >= 0.5 for c in weak_rules.codes(v)])
-    assert kept[truth].mean() > 0.99 and kept[~truth].mean() < 0.2 and 0.8 < share[0] < 0.95 and (table[0, :, weak_rules.GOOD] > 0.99).all()
+    agreed = ((v[:, ~loose] == weak_rules.BAD) & (v[:, loose] == weak_rules.BAD)).any(axis=1)
+    # Nobody can find the fifth of the faults on which the strict rule abstains or errs; where a pair agrees, the document goes.
+    assert kept[truth].mean() > 0.99 and kept[~truth].mean() < 0.3 and not kept[agreed].any() and 0.87 < share[0] < 0.95
+    assert (table[0, ~loose, weak_rules.GOOD] > 0.98).all() and (abs(table[0, loose, weak_rules.GOOD] - 0.9) < 0.02).all()
+    assert (~(v == weak_rules.BAD).any(axis=1))[truth].mean() < 0.75
 
 
 def variety_votes(texts):
@@ -80,8 +85,82 @@ def test_long_word_salads_are_not_kept(spark):
     assert len(got) == 20 and (got.posterior < 0.5).all() and not got.kept.any()
 
 
+def test_the_posterior_departs_from_all_must_pass_where_labels_say_so(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = weak_rules.statistics(docs).cache()
+    posteriors, share, table = weak_rules.learnt(stats)
+    met = stats.join(labels.select("doc_id", "quality"), "doc_id").select("pattern", "base_failed", "quality").toPandas()
+    v, good = weak_rules.decode(met.pattern.to_numpy()), met.quality.to_numpy() == 1
+    kept, passes = met.pattern.map(posteriors).to_numpy() >= 0.5, ~(v == weak_rules.BAD).any(axis=1)
+    # Asking every rule to pass loses a third of the good documents; the posterior keeps them, and of the bad ones one in fifty at most.
+    assert passes[good].mean() < 0.7 and kept[good].mean() > 0.99 and kept[~good].mean() < 0.02
+    assert ((kept & ~passes) & good).sum() > 1000 and abs(share[0] - good.mean()) < 0.01
+    for k, rule in enumerate(weak_rules.RULES):  # what it has learnt of each rule without a label is what the labels say
+        voted = good & (v[:, k] != weak_rules.NONE)
+        assert abs(table[0, k, weak_rules.GOOD] - (v[voted, k] == weak_rules.GOOD).mean()) < 0.02, rule
+    # Agreement counts: a loose rule alone is not believed, two rules that see one fault are.
+    names = list(weak_rules.RULES)
+    base = np.full((4, len(names)), weak_rules.GOOD)
+    for row, blamed in enumerate([(), ("line",), ("repeats", "variety"), ("symbols", "letters")]):
+        base[row, [names.index(b) for b in blamed]] = weak_rules.BAD
+    p = weak_rules._posterior(base, share, table)
+    assert p[0] > 0.99 and p[1] > 0.9 and (p[2:] < 0.1).all()
+
+
+def test_the_query_is_what_a_plain_model_gives(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    counts = {i: brute_stats(t or "") for i, t in rows}
+    votes = {i: weak_rules.votes(doc_stats.table([(t or "").encode()]))[0].tolist() for i, t in rows}
+    families = [set(names) for names in weak_rules.FAMILIES.values()]
+    rules = list(weak_rules.RULES)
+    classes = {}
+    for i, v in votes.items():  # start: as far as one family agrees
+        bad = [sum(x == 2 and rules[k] in f for k, x in enumerate(v)) / (sum(x > 0 and rules[k] in f for k, x in enumerate(v)) + 0.5) for f in families]
+        total = sum(b + 1e-9 for b in bad)
+        classes[i] = [1 - max(bad) ** 2] + [max(bad) ** 2 * (b + 1e-9) / total for b in bad]
+    for _ in range(200):
+        rate = {}
+        for c in range(5):
+            for k, rule in enumerate(rules):
+                right = 0.95 if c == 0 else 0.1 * (0.2 if rule in families[c - 1] else 0.8)
+                wrong = 0.05 if c == 0 else 0.1 - right
+                g = sum(classes[i][c] for i, v in votes.items() if v[k] == 1) + right * 0.2 * len(rows)
+                b = sum(classes[i][c] for i, v in votes.items() if v[k] == 2) + wrong * 0.2 * len(rows)
+                rate[c, k] = (1.0, g / (g + b), b / (g + b))
+        share = [(sum(p[c] for p in classes.values()) + 1) / (len(rows) + 5) for c in range(5)]
+        for i, v in votes.items():
+            like = [share[c] * float(np.prod([rate[c, k][x] for k, x in enumerate(v)])) for c in range(5)]
+            classes[i] = [x / sum(like) for x in like]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        n, _, _, _, rep = counts[i]
+        failed = n < 50 or 100 * rep > 50 * n
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (*counts[i], failed)
+        assert abs(r["posterior"] - classes[i][0]) < 1e-6 and r["kept"] == (not failed and classes[i][0] >= 0.5)
+
+
+def test_kept_columns_of_any_name_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+    text = "\n".join(" ".join(f"plain{k}words,"[: 5 + k % 7] for k in rng.integers(0, 10**5, 30)) + "." for _ in range(8000))
+    df = spark.createDataFrame([(1, text, 1, 2.0, "x"), (2, None, None, None, None)], "doc_id long, text string, pattern int, posterior double, passed string")
+    assert len(text) > 10**6 and (weak_rules.votes(doc_stats.table([text.encode()])) != weak_rules.BAD).all() and weak_rules.keep_good(df).collect() == df.filter("doc_id = 1").collect()
+    forest = boosted_trees.train(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert boosted_trees.keep_good(df, forest, 0.0).count() == 2
+
+
+def test_the_bound_on_learning_holds_after_the_join(spark, monkeypatch):
+    many = spark.range(3000).selectExpr("1L as doc_id", "concat('text ', id) as text")
+    taken = []
+    monkeypatch.setattr(boosted_trees, "fit", lambda x, y: taken.append(len(y)))
+    boosted_trees.train(many, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), most=10)
+    assert taken == [10]
+
+
 def test_rules_on_documents(spark):
-    text = " ".join(f"word{i} and{i % 7} more{i % 5} of it{i % 3}, as plain{i % 11} prose{i % 4} goes." for i in range(20))
+    text = "\n".join(f"word{i} and{i % 7} more{i} of it{i}, as plain{i % 11} prose{i} goes." for i in range(20))
     rows = [(1, text), (1, text), (None, None), (3, ""), (4, "a b c " * 40), (5, "short")]
     df = spark.createDataFrame([(i, t, 0, 0.5, True) for i, t in rows], "doc_id long, text string, pattern int, posterior double, kept boolean")
     got = weak_rules.judge(df).collect()
