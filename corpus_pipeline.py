@@ -7,7 +7,6 @@ session's shared checkpoint folder and reads it again, which cuts lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import boosted_trees, fingerprint_index, simhash, vector_packing, weak_rules
+from keelson.llm.common import checkpoint_folder, delete
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out words of windows seen earlier; texts that lose nothing stay as they are, and n_chars follows the text."""
-    columns = docs.columns
-    found = fingerprint_index.dedup(docs.withColumn("whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("`in.whole`"))
-    named = {"text": text.alias("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("`in.n_chars`")).alias("n_chars")}
-    return found.select(*(named.get(c, F.col(f"`in.{c}`").alias(c)) for c in columns))
+    found = fingerprint_index.dedup(docs, keep_text=True)
+    lost = F.col("n_removed") > 0
+    own = {c: F.col(f"`in.{c}`") for c in docs.columns}
+    own["text"] = F.when(lost, F.col("kept")).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.when(lost, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*(x.alias(c) for c, x in own.items()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-")
-    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared}/pipeline-{uuid.uuid4()}"
+    """All stages over the documents of sf_dir; a stage's folder goes once the next one is written."""
+    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            delete(spark, f"{at}/{k - 1}")
     return docs
