@@ -44,7 +44,9 @@ from .word_hashes import mix, rolling, words
 
 SIZE = 20
 #: Bytes of text in a bucket of the index and in a block of documents, about.
-SHARE = 16 << 20
+SHARE = 8 << 20
+#: Bytes of text hashed at once.
+SLICE = 2 << 20
 #: More runs than this are merged into one.
 FAN = 4
 #: A minimiser is hot from this many records on, if that is also more than a quarter of a bucket's mean load.
@@ -288,7 +290,7 @@ def hot_minimisers(docs: DataFrame, buckets: int, text: str = "text", size: int
     """
 
     def rows(batches):
-        for b in in_slices(batches, "t", 4 << 20, 1 << 16):
+        for b in in_slices(batches, "t", SLICE, 1 << 16):
             *_, m, at = _windows(as_bytes(b.column("t")), size)
             key, n = np.unique(m[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, int))
             many = n > 1
@@ -301,6 +303,8 @@ def hot_minimisers(docs: DataFrame, buckets: int, text: str = "text", size: int
     return sorted(r["key"] for r in found.filter(F.col("key").isNotNull() & (F.col("n") > least)).collect())
 
 
+#: Blobs are packed already; small row groups keep few of them in a writer.
+PLAIN = {"compression": "uncompressed", "parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false"}
 COMMIT = "batch int, runs array<int>, buckets int, size int, hot array<long>, bytes long"
 
 
@@ -346,7 +350,7 @@ class FingerprintIndex:
         dealt_to = buckets * max(1, -(-self.bytes // (buckets * GROWN))) if merging else buckets
 
         def records(batches):
-            for b in in_slices(batches, "t", 4 << 20, 1 << 16):
+            for b in in_slices(batches, "t", SLICE, 1 << 16):
                 ids = np.array([_ID if x is None else x for x in b.column("id").to_pylist()], dtype=np.int64)
                 rows = list(scan(as_bytes(b.column("t")), ids, *(b.column(c).to_numpy() for c in ("tag", "block")), buckets, hot, size))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "blob"])
@@ -371,7 +375,7 @@ class FingerprintIndex:
         dealt = docs.select("id", "tag", "block", "t").mapInArrow(records, "bucket long, kind int, block long, blob binary")
         dealt = dealt.unionByName(self.history().select("bucket", F.lit(RUN).alias("kind"), F.lit(0).cast("long").alias("block"), "blob"))
         with tidy(self.spark):
-            dealt.groupBy("bucket").applyInArrow(bucket, "place long, kind int, blob binary").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/{number}")
+            dealt.groupBy("bucket").applyInArrow(bucket, "place long, kind int, blob binary").write.mode("overwrite").partitionBy("kind").options(**PLAIN).parquet(f"{self.folder}/{number}")
         replaced = self.runs if merging else []
         self.runs, self.buckets = ([number] if merging else [*self.runs, number]) if keep else self.runs, dealt_to
         size_of = lambda k: self._kind(k, RUN).agg(F.sum(F.octet_length("blob"))).first()[0] or 0
