@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,17 @@ from pyspark.sql import functions as F
 from keelson.functions.expr import field, lit, param, some
 from keelson.functions.folds import Collect, Count, Custom, Max, Min, Sum, down, up
 from keelson.operators import formulas, logs, overlay, views
-from keelson.operators.keyed import Keyed, by_revision
+from keelson.operators.keyed import Keyed, alike, by_revision
 from keelson.plans.builder import Cell, from_
-from keelson.plans.compile import Ordering, compile_plan
+from keelson.operators.line import Line
+from keelson.operators.running import checkpointed
+from keelson.plans.compile import Ordering, compile_plan, key_column
 from keelson.plans.why import why
+from keelson.sources.outbox import DONE, STUCK, WAITING, active, owed, readable, stuck
+from keelson.sources.remote import FAILED, VALUE, status_of
 from keelson.streaming.delta import Delta, netted
+from keelson.streaming.feed import Feed
+from keelson.streaming.live import Live, window_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -369,8 +376,8 @@ def blocks_range(t):
 
 @query("SELECT 'customer' AS source, '7' AS key UNION ALL SELECT 'orders', o_orderkey::VARCHAR FROM orders WHERE o_custkey = 7")
 def why_join(t):
-    keys = [f"[{r[0]},7]" for r in t["orders"].filter("o_custkey = 7").select("o_orderkey").collect()]
-    return why(ORDERS.join(CUSTOMERS, "c", ("o_custkey", "c_custkey")).tree(), t, *keys)
+    keys = t["orders"].filter("o_custkey = 7").select(F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(",7]")))
+    return why(ORDERS.join(CUSTOMERS, "c", ("o_custkey", "c_custkey")).tree(), t, keys)
 
 
 @query("SELECT 'orders' AS source, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus = 'P'")
@@ -438,9 +445,8 @@ def _changed(t, name: str, key: tuple[str, ...], old: DataFrame, node, columns:
             before[other] = after[other] = t[other]
     change = Delta(before, after, {name: Keyed(old, key).changes_to(Keyed(after[name], key))})(node)
     held = compile_plan(node, before)
-    row = F.struct(*(F.col(f"`{c}`") for c in held.columns))
-    gone = change.filter(F.col("prev").isNotNull()).select(F.to_json("prev").alias("_j"))
-    kept = held.withColumn("_j", F.to_json(row)).join(gone, "_j", "left_anti").drop("_j")
+    gone = change.filter(F.col("prev").isNotNull()).select("prev.*")
+    kept = held.withColumn("_k", key_column(held, node)).join(gone.select(key_column(gone, node).alias("_k")), "_k", "left_anti").drop("_k")
     return kept.unionByName(change.filter(F.col("next").isNotNull()).select("next.*")).select(*columns)
 
 
@@ -487,3 +493,176 @@ def delta_netted(t):
     second = o.select(row(F.col("o_totalprice") - 1).alias("prev"), row(F.col("o_totalprice")).alias("next"), F.lit(2).alias("seq"))
     third = o.filter("o_orderstatus = 'F'").select(row(F.col("o_totalprice")).alias("prev"), none.alias("next"), F.lit(3).alias("seq"))
     return netted(first.unionByName(second).unionByName(third), ["o_orderkey"]).select("next.*")
+
+
+# Live relations and feeds: every one is told of its tables in three batches, in a folder of its own.
+
+
+def _folder(t: Tables) -> str:
+    """A new folder where all executors can write."""
+    checkpointed(t.spark.range(1))  # sets the context's folder from the session's
+    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/live-{uuid.uuid4()}"
+
+
+def _live(t: Tables, node, names: dict[str, str]) -> Live:
+    """A live relation over the tables named (with their keys): a first third with other values, then everything as it is, then without every seventh row of the first table."""
+    live = Live(t.spark, node, {n: t[n].schema for n in names}, _folder(t))
+    third = lambda n: t[n].filter(F.col(names[n]) % 3 == 0)
+    first = next(iter(names))
+    number = next(f.name for f in t[first].schema if f.dataType.typeName() == "double")
+    live.apply({n: (third(n).withColumn(number, F.lit(1e6)) if n == first else third(n), None) for n in names})
+    live.apply({n: (t[n], None) for n in names})
+    live.apply({first: (None, t[first].filter(F.col(names[first]) % 7 == 0).select(names[first]))})
+    return live
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderkey % 7 <> 0")
+def live_filter(t):
+    return _live(t, ORDERS.where("o_totalprice", ">", 150000).tree(), {"orders": "o_orderkey"}).rows().select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000 WHERE o_orderkey % 7 <> 0")
+def live_join(t):
+    node = ORDERS.join(CUSTOMERS, "c", ("o_custkey", "c_custkey"), residual=field("o_totalprice") > 100000, keeping=True).tree()
+    return _live(t, node, {"orders": "o_orderkey", "customer": "c_custkey"}).rows().select("o_orderkey", "c.c_name")
+
+
+@query("SELECT o_custkey, count(*) AS n, sum(o_orderkey)::DOUBLE AS total FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
+def live_agg_running(t):
+    return _live(t, ORDERS.groupBy("o_custkey", n=Count(), total=Sum(field("o_orderkey"))).tree(), {"orders": "o_orderkey"}).rows().select("o_custkey", "n", "total")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
+def live_agg_recomputed(t):
+    return _live(t, ORDERS.groupBy("o_orderstatus", n=Count(), most=Max(field("o_totalprice"))).tree(), {"orders": "o_orderkey"}).rows().select("o_orderstatus", "n", "most")
+
+
+@query("SELECT p_partkey, (sum(p_size) OVER (ORDER BY p_partkey) - p_size)::DOUBLE AS ahead FROM part WHERE p_partkey % 7 <> 0")
+def live_scan(t):
+    return _live(t, from_("part", "p_partkey").scan(up("p_partkey"), "p_size", as_="ahead").tree(), {"part": "p_partkey"}).rows().select("p_partkey", "ahead")
+
+
+@query(
+    "SELECT 2 AS version, NULL::BIGINT AS prev_key, o_orderkey AS next_key FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice > 150000 "
+    "UNION ALL SELECT 2, o_orderkey, CASE WHEN o_totalprice > 150000 THEN o_orderkey END FROM orders WHERE o_orderkey % 3 = 0 "
+    "UNION ALL SELECT 3, o_orderkey, NULL FROM orders WHERE o_orderkey % 7 = 0 AND o_totalprice > 150000"
+)
+def live_changes_since(t):
+    live = _live(t, ORDERS.where("o_totalprice", ">", 150000).tree(), {"orders": "o_orderkey"})
+    return live.changes_since(1).select("version", F.col("prev.o_orderkey").alias("prev_key"), F.col("next.o_orderkey").alias("next_key"))
+
+
+@query(
+    "WITH b AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey::VARCHAR LIMIT 50), a AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey::VARCHAR LIMIT 50 OFFSET 20) "
+    "SELECT 'left' AS what, p_partkey FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a) UNION ALL SELECT 'entered', p_partkey FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM b)"
+)
+def window_diff(t):
+    line = views.Ordered(Keyed(t["part"], ("p_partkey",)), down("p_retailprice"))
+    columns = t["part"].columns
+    found = window_changes(line.slice(0, 50).select(*columns), line.slice(20, 70).select(*columns), ["p_partkey"])
+    return found.select("what", "row.p_partkey")
+
+
+def _feed(t: Tables, **options) -> Feed:
+    return Feed(t.spark, _folder(t), t["part"].schema, ("p_partkey",), **options)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 5 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_partkey % 5 <> 0")
+def feed_take_lose(t):
+    feed = _feed(t)
+    feed.take(t["part"])
+    feed.take(t["part"].filter("p_partkey % 2 = 0").withColumn("p_retailprice", F.col("p_retailprice") + 5))
+    feed.lose(t["part"].filter("p_partkey % 5 = 0").select("p_partkey"))
+    return feed.rows().select("p_partkey", "p_retailprice")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size < 20")
+def feed_reset_and_reopened(t):
+    feed = _feed(t)
+    feed.take(t["part"].withColumn("p_retailprice", F.lit(0.0)))
+    feed.reset(t["part"].filter("p_size < 20"))
+    return Feed(t.spark, feed.folder, feed.schema, feed.key).rows().select("p_partkey", "p_retailprice")
+
+
+@query("SELECT user_id, max(event_id) AS rev, max_by(event_type, event_id) AS status FROM events GROUP BY 1")
+def rail_by_revision(t):
+    """Pages and deltas in any order: an older revision never beats a newer one."""
+    rows = t["events"].select("user_id", F.col("event_id").alias("rev"), F.col("event_type").alias("status"))
+    empty = Keyed(rows.limit(0), ("user_id",), by_revision("rev"))
+    newer, older = rows.filter("rev % 2 = 0"), rows.filter("rev % 2 = 1")
+    return empty.put(newer).put(older).put(newer).df
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size > 10 AND p_partkey % 3 <> 0")
+def rail_page_then_delta(t):
+    rev = lambda df, n: df.withColumn("rev", F.lit(n))
+    page = rev(t["part"].filter("p_size > 10"), 2)
+    held = Keyed(rev(t["part"], 1), ("p_partkey",), by_revision("rev")).replace(page)
+    late = held.put(rev(t["part"].filter("p_size > 10").withColumn("p_retailprice", F.lit(-1.0)), 1))
+    return late.drop(t["part"].filter("p_partkey % 3 = 0").select("p_partkey")).df.select("p_partkey", "p_retailprice")
+
+
+# Ordered lines by key and by index.
+
+
+@query("SELECT (coalesce(sum(p_size), 0))::DOUBLE AS \"offset\" FROM part WHERE p_partkey < 100")
+def ordering_offset_of(t):
+    return Ordering(from_("part", "p_partkey").scan(up("p_partkey"), "p_size", as_="b").tree(), t).offset_of("100")
+
+
+@query("SELECT (sum(p_size) OVER (ORDER BY p_partkey) - p_size)::DOUBLE AS \"offset\" FROM part ORDER BY p_partkey LIMIT 1 OFFSET 42")
+def ordering_offset_at(t):
+    return Ordering(from_("part", "p_partkey").scan(up("p_partkey"), "p_size", as_="b").tree(), t).offset_at(42)
+
+
+@query("SELECT p_partkey::VARCHAR AS key FROM part ORDER BY p_partkey LIMIT 1 OFFSET 17")
+def ordering_key_at(t):
+    return Ordering(from_("part", "p_partkey").scan(up("p_partkey"), "p_size", as_="b").tree(), t).key_at(17)
+
+
+@query(
+    "WITH l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_size::DOUBLE AS size FROM part), "
+    "e AS (SELECT i, CASE WHEN i = 3 THEN 1000.0 ELSE size END AS size FROM l UNION ALL SELECT * FROM (VALUES (4.5, 7.0), (4.6, 8.0)) v(i, size)), "
+    "n AS (SELECT row_number() OVER (ORDER BY i) - 1 AS j, size FROM e) "
+    "SELECT (j - CASE WHEN j >= 10 THEN 2 ELSE 0 END)::BIGINT AS index, size, (sum(size) OVER (ORDER BY j) - size)::DOUBLE AS \"offset\" FROM n WHERE j NOT IN (8, 9)"
+)
+def line_edits(t):
+    placed = views.offsets(Keyed(t["part"], ("p_partkey",)), field("p_size"))
+    line = Line(placed.select(F.col("place").cast("long").alias("index"), F.col("measure").alias("size")))
+    return line.measure(3, 1000.0).insert(5, [7.0, 8.0]).remove(8, 2).placed().select("index", "size", "offset")
+
+
+# Books of calls and answers, as tables.
+
+
+def _book(t: Tables) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", DONE).when(F.col("o_orderstatus") == "P", STUCK).otherwise(WAITING)
+    return t["orders"].select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("lane"), state.alias("state"))
+
+
+@query("SELECT 'owed' AS view, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'stuck', count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'active', count(*) FROM orders WHERE o_orderstatus = 'O'")
+def outbox_views(t):
+    book = _book(t)
+    counted = [f(book).agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n")) for name, f in (("owed", owed), ("stuck", stuck), ("active", active))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("SELECT o_custkey, bool_and(o_orderstatus = 'F') AS arrived, min(o_orderkey)::DOUBLE AS at FROM orders GROUP BY 1")
+def answers_status(t):
+    answers = t["orders"].select("o_custkey", F.when(F.col("o_orderstatus") == "F", VALUE).otherwise(FAILED).alias("state"), F.col("o_orderkey").cast("double").alias("at"))
+    return status_of(answers, "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND 1000 - o_orderkey <= 300")
+def kept_readable(t):
+    envelopes = t["orders"].select("o_orderkey", (F.col("o_orderkey") % 2).alias("v"), F.col("o_orderkey").cast("double").alias("at"), F.col("o_orderstatus").alias("value"))
+    return readable(envelopes, 1, 1000.0, 300.0).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE NOT (p_partkey % 2 = 0 AND p_size = 1)")
+def alike_maps(t):
+    """Rows whose map of attributes equals what it was; every even part has one attribute more if its size is 1."""
+    part = t["part"].withColumn("was", F.create_map(F.lit("size"), F.col("p_size")))
+    now = F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_size") == 1), F.create_map(F.lit("size"), F.col("p_size"), F.lit("odd"), F.lit(1))).otherwise(F.col("was"))
+    part = part.withColumn("now", now)
+    return part.filter(alike(["was"], ["now"], part)).select("p_partkey", "p_size")

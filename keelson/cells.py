@@ -15,6 +15,11 @@ from typing import Any
 #: Wakings of one watcher in one wave before it counts as a loop.
 LOOP = 100
 
+
+class CycleError(RecursionError):
+    """A cell reads itself; the text names the cells of the ring."""
+
+
 _reading: list[_Node | None] = []
 _batch: list[set[Watch] | None] = [None]
 
@@ -59,11 +64,14 @@ class Derived(_Node):
 
     def __init__(self, compute: Callable[[], Any], name: str = ""):
         super().__init__(name)
-        self.compute, self.sources, self.fresh, self.known, self._value = compute, {}, False, False, None
+        self.compute, self.sources, self.fresh, self.known, self._value, self._error = compute, {}, False, False, None, None
 
     def get(self) -> Any:
+        """The value; a formula that failed fails for every reader, without running again before something it read differs."""
         self._ensure()
         self._read()
+        if self._error is not None:
+            raise self._error
         return self._value
 
     @property
@@ -76,9 +84,19 @@ class Derived(_Node):
         if self.known and not _differs(self):
             self.fresh = True
             return
-        value = _run(self, self.compute)
-        if not self.known or value != self._value:
-            self._value, self.version = value, self.version + 1
+        if self in _reading:
+            ring = _reading[_reading.index(self) :]
+            raise CycleError(" -> ".join((n.name or "?") for n in [*ring, self] if n is not None))
+        value, error = None, None
+        try:
+            value = _run(self, self.compute)
+        except CycleError:
+            self.fresh = self.known = False
+            raise
+        except Exception as e:  # noqa: BLE001
+            error = e
+        if not self.known or value != self._value or error is not None or self._error is not None:
+            self._value, self._error, self.version = value, error, self.version + 1
         self.fresh = self.known = True
 
     def _stale(self) -> None:

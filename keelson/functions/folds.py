@@ -113,7 +113,8 @@ def compile_fold(fold: Fold, schema: T.StructType, keys: list[tuple[str, ...]])
             return F.count(F.lit(1))
         case Sum():
             c, t, _ = compile_typed(fold.of, schema)
-            c = c.cast(fold.exact) if fold.exact else c if kind_of(t) == "number" else c.cast("double")
+            # In doubles, as longs could overflow; other types that count as numbers stay decimals.
+            c = c.cast(fold.exact) if fold.exact else c if isinstance(t, T.DecimalType) else c.cast("double")
             return F.coalesce(F.sum(c), F.lit(0)).cast("double")
         case Min():
             return F.min(compile_typed(fold.of, schema)[0])
@@ -121,14 +122,19 @@ def compile_fold(fold: Fold, schema: T.StructType, keys: list[tuple[str, ...]])
             return F.max(compile_typed(fold.of, schema)[0])
     row = F.struct(*(F.col(f"`{n}`") for n in schema.names))
     if isinstance(fold, Custom):
-        rows = F.array_sort(F.collect_list(F.struct(key_text(schema, keys).alias("k"), row.alias("v"))))
+        # By the key alone: the row may hold a map, which has no order.
+        rows = F.array_sort(F.collect_list(F.struct(key_text(schema, keys).alias("k"), row.alias("v"))), _comparator([("k", False)]))
         return F.aggregate(rows, fold.zero, lambda held, x: fold.add(held, x["v"]))
     order = [(f"o{i}", o.down) for i, o in enumerate(fold.by)]
     fields = [compile_typed(Field(o.path), schema)[0].alias(f"o{i}") for i, o in enumerate(fold.by)]
     value = row if fold.of is None else compile_typed(fold.of, schema)[0]
     listed = F.collect_list(F.struct(*fields, key_text(schema, keys).alias("k"), value.alias("v")))
-    falling = any(o.down for o in fold.by)
-    return F.transform(F.array_sort(listed, _comparator([*order, ("k", False)])) if falling else F.array_sort(listed), lambda x: x["v"])
+    plain = not any(o.down for o in fold.by) and isinstance(value_type(fold, schema), T.AtomicType)
+    return F.transform(F.array_sort(listed) if plain else F.array_sort(listed, _comparator([*order, ("k", False)])), lambda x: x["v"])
+
+
+def value_type(fold: Collect, schema: T.StructType) -> T.DataType:
+    return schema if fold.of is None else compile_typed(fold.of, schema)[1]
 
 
 def partial_fold(fold: Fold, schema: T.StructType, keys: list[tuple[str, ...]], stretch: str) -> tuple[Column, Callable[[Column], Column]]:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 # Functions of the language and its errors.
 FOLDS = ("SUM", "PROD", "AVG", "MIN", "MAX", "COUNT")
-SCALARS = {"ABS": 1, "SQRT": 1, "INT": 1, "SIGN": 1, "MOD": 2, "POW": 2, "ROUND": 2}
+SCALARS = {"ABS": (1,), "SQRT": (1,), "INT": (1,), "SIGN": (1,), "MOD": (2,), "POW": (2,), "ROUND": (1, 2)}
 SYNTAX, REF, NAME, DIV, VALUE, NUM = "#SYNTAX!", "#REF!", "#NAME?", "#DIV/0!", "#VALUE!", "#NUM!"
 # End of fixed values.
 
-_TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Z]+\d+)|([A-Z]+)|(.))")
+_TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Za-z]+\d+)|([A-Za-z]+)|(.))")
 
 
 class FormulaError(ValueError):
@@ -53,7 +53,7 @@ def scalar(name: str, *args: Column) -> Column:
         case "POW":
             return F.pow(x, args[1].cast("double"))
         case "ROUND":
-            return F.expr("NULL") if len(args) < 2 else _round(x, args[1])
+            return _round(x, F.lit(0) if len(args) < 2 else args[1])
     raise FormulaError(NAME)
 
 
@@ -74,8 +74,8 @@ class Term:
 
 
 def parse(text: str) -> Term:
-    """Read a formula by precedence: + -, then * /, then unary minus, then ^ (to the right)."""
-    tokens = [(m.lastindex, m.group(m.lastindex)) for m in _TOKEN.finditer(text.strip())]
+    """Read a formula by precedence: + -, then * /, then ^ (to the right), then signs, so that -2^2 is 4. Names and references may be in lower case."""
+    tokens = [(m.lastindex, m.group(m.lastindex).upper()) for m in _TOKEN.finditer(text.strip())]
     at = 0
 
     def peek():
@@ -99,17 +99,20 @@ def parse(text: str) -> Term:
         return chain(product, ("+", "-"))
 
     def product():
-        return chain(signed, ("*", "/"))
+        return chain(power, ("*", "/"))
+
+    def power():
+        base = signed()
+        if peek() == "^":
+            take()
+            return Term("^", (base, power()))
+        return base
 
     def signed():
         if peek() in ("-", "+"):
             op = take()[1]
             return Term("neg", (signed(),)) if op == "-" else signed()
-        base = atom()
-        if peek() == "^":
-            take()
-            return Term("^", (base, signed()))
-        return base
+        return atom()
 
     def argument():
         out = total()
@@ -131,12 +134,12 @@ def parse(text: str) -> Term:
             if value not in FOLDS and value not in SCALARS:
                 raise FormulaError(NAME)
             take("(")
-            args = [argument()]
-            while peek() == ",":
+            args = [] if peek() == ")" else [argument()]
+            while args and peek() == ",":
                 take()
                 args.append(argument())
             take(")")
-            if value in SCALARS and len(args) != SCALARS[value]:
+            if value in SCALARS and len(args) not in SCALARS[value]:
                 raise FormulaError(VALUE)
             return Term("call", (value, tuple(args)))
         if value == "(":
@@ -194,6 +197,8 @@ def compile_row(formula: Term | str, columns: list[str]) -> Column:
             values = []
             for a in args:
                 values += [F.col(c).cast("string") for c in _letters(*(place(r)[1] for r in a.args))] if a.head == "range" else [sub(a).cast("string")]
+            if not values:  # over nothing
+                return F.lit({"PROD": 1.0, "AVG": None}.get(name, 0.0)).cast("double")
             x = F.array(*(number(v) for v in values))
             add = F.aggregate(x, F.lit(0.0), lambda h, v: h + v)
             return {

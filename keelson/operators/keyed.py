@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.errors import KeyClash
 from keelson.functions.expr import Expr, compile_expr, condition
@@ -16,9 +17,42 @@ from keelson.notice import notice
 Wins = Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class ByRevision:
+    """The incoming row wins unless its revision is lower. Among rows of one batch the highest revision is the one that lasts, in any order."""
+
+    name: str
+
+    def __call__(self, held: Column, incoming: Column) -> Column:
+        return incoming[self.name] >= held[self.name]
+
+
 def by_revision(name: str) -> Wins:
-    """The incoming row wins unless its revision is lower."""
-    return lambda held, incoming: incoming[name] >= held[name]
+    return ByRevision(name)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    match kind:
+        case T.MapType():
+            return True
+        case T.ArrayType():
+            return _has_map(kind.elementType)
+        case T.StructType():
+            return any(_has_map(f.dataType) for f in kind.fields)
+    return False
+
+
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """A value that is equal, in the sense of <=>, exactly where c is: maps become their entries in the order of keys."""
+    if not _has_map(kind):
+        return c
+    match kind:
+        case T.MapType():
+            sorted_ = F.array_sort(F.map_keys(c))
+            return F.transform(sorted_, lambda k: F.struct(k.alias("k"), comparable(F.element_at(c, k), kind.valueType).alias("v")))
+        case T.ArrayType():
+            return F.transform(c, lambda x: comparable(x, kind.elementType))
+    return F.when(c.isNotNull(), F.struct(*(comparable(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
 
 
 @dataclass(frozen=True)
@@ -58,16 +92,26 @@ class Keyed:
         return F.when(incoming.isNull(), held).when(held.isNull() | better, incoming).otherwise(held)
 
     def netted(self, rows: DataFrame, seq: str | None = None) -> DataFrame:
-        """One row for each key: the one that wins, the last in `seq` among equals; without `seq` rows of one key must agree on the winner."""
+        """One row for each key: the one that lasts if rows come one after the other in the order of `seq`.
+
+        Rows have no order of their own. Without `seq` the highest revision lasts under `by_revision`; else rows that share a key
+        must be equal, and the query fails where they are not.
+        """
         columns = [c for c in self.df.columns]
+        key, row = [F.col(f"`{k}`") for k in self.key], F.struct(*(F.col(f"`{c}`") for c in columns))
+        plain = F.xxhash64(*(F.col(f"`{f.name}`") if not _has_map(f.dataType) else F.to_json(F.struct(comparable(F.col(f"`{f.name}`"), f.dataType).alias("m"))) for f in rows.select(*(f"`{c}`" for c in columns)).schema))
+        if isinstance(self.wins, ByRevision):
+            order = [F.col(f"`{self.wins.name}`"), F.col(seq) if seq else plain]
+            return rows.groupBy(*key).agg(F.max_by(row, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("_r")).select("_r.*")
         if seq is None:
-            return rows.select(*columns).dropDuplicates(list(self.key))
-        last = Window.partitionBy(*self.key).orderBy(F.desc(seq))
+            one = rows.withColumn("_h", plain).groupBy(*key).agg(F.first(row).alias("_r"), (F.min("_h") != F.max("_h")).alias("_unlike"))
+            clash = F.raise_error(F.concat(F.lit("several rows have the key "), F.to_json(F.struct(*(F.col(f"_r.`{k}`") for k in self.key))), F.lit("; name a column that orders them")))
+            return one.select(F.when(F.col("_unlike"), clash).otherwise(F.col("_r")).alias("_r")).select("_r.*")
         if self.wins is None:
-            return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(*columns)
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.struct(*columns).alias("r"))))
-        won = F.aggregate(ordered, F.lit(None).cast(rows.select(F.struct(*columns)).schema[0].dataType), lambda held, x: F.when(held.isNull() | F.coalesce(self.wins(held, x["r"]), F.lit(False)), x["r"]).otherwise(held))
-        return rows.groupBy(*self.key).agg(won.alias("_r")).select("_r.*")
+            return rows.groupBy(*key).agg(F.max_by(row, F.col(seq)).alias("_r")).select("_r.*")
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), row.alias("r"))), lambda x, y: F.when(x["s"] < y["s"], -1).when(x["s"] > y["s"], 1).otherwise(0))
+        won = F.aggregate(ordered, F.lit(None).cast(rows.select(row).schema[0].dataType), lambda held, x: F.when(held.isNull() | F.coalesce(self.wins(held, x["r"]), F.lit(False)), x["r"]).otherwise(held))
+        return rows.groupBy(*key).agg(won.alias("_r")).select("_r.*")
 
     def put(self, rows: DataFrame, seq: str | None = None) -> Keyed:
         """Upsert: an incoming row replaces the held one of its key unless the held one wins."""
@@ -86,9 +130,9 @@ class Keyed:
         out = self if put is None else self.put(put, seq)
         return out if drop is None else out.drop(drop)
 
-    def replace(self, rows: DataFrame) -> Keyed:
+    def replace(self, rows: DataFrame, seq: str | None = None) -> Keyed:
         """A snapshot: it owns which keys there are; `wins` still decides what survivors hold."""
-        return self._with(self._meet(self.netted(rows)).filter(F.col("incoming").isNotNull()).select(self._chosen().alias("r")).select("r.*"))
+        return self._with(self._meet(self.netted(rows, seq)).filter(F.col("incoming").isNotNull()).select(self._chosen().alias("r")).select("r.*"))
 
     def row(self, *key) -> DataFrame:
         out = self.df
@@ -115,7 +159,8 @@ class Keyed:
     def changes_to(self, later: Keyed) -> DataFrame:
         """prev, next for every key whose row differs: an insert has no prev, a delete no next."""
         met = self._meet(later.df)
-        return met.filter(~F.col("held").eqNullSafe(F.col("incoming"))).select(F.col("held").alias("prev"), F.col("incoming").alias("next"))
+        kind = met.schema["held"].dataType
+        return met.filter(~comparable(F.col("held"), kind).eqNullSafe(comparable(F.col("incoming"), kind))).select(F.col("held").alias("prev"), F.col("incoming").alias("next"))
 
     def where_live(self, before: Expr, after: Expr) -> DataFrame:
         """What changes in the filtered table when its test changes, as prev, next: only rows that enter or leave."""
@@ -125,14 +170,20 @@ class Keyed:
         return met.filter(~F.col("prev").eqNullSafe(F.col("next")))
 
 
-def alike(a: Sequence[str], b: Sequence[str]) -> Column:
-    """Whether two lists of columns hold equal values, null equal to null."""
+def alike(a: Sequence[str], b: Sequence[str], df: DataFrame | None = None) -> Column:
+    """Whether two lists of columns hold equal values, null equal to null; maps need df, whose types then count."""
+    held = lambda c: F.col(c) if df is None else comparable(F.col(c), df.select(c).schema[0].dataType)
     out = F.lit(len(a) == len(b))
     for x, y in zip(a, b):
-        out = out & F.col(x).eqNullSafe(F.col(y))
+        out = out & held(x).eqNullSafe(held(y))
     return out
 
 
+def same_items(df: DataFrame, a: str, b: str) -> Column:
+    """Whether two list columns hold equal items in the same order; a null list equals only a null list."""
+    return alike([a], [b], df)
+
+
 #: Rows of one join key from which a join counts as crowded.
 CROWDED = 10_000
 

@@ -13,10 +13,13 @@ TWO_PHASES = 256 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, which is set only where the cluster names none."""
+    """df written to the folder that all executors share: the context's checkpoint folder or else spark.checkpoint.dir; only a local master gets a temporary one."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-"))
     return df.checkpoint()
 
 

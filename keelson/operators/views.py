@@ -120,24 +120,3 @@ def blocks(df: DataFrame, line: str, at: str, fold: Column, span: int = 32) -> D
 def range_fold(df: DataFrame, line: str, at: str, start: int, end: int, fold: Column) -> DataFrame:
     """A fold over places start to end, both included, of every line; the filter reaches the scan."""
     return df.filter(F.col(at).between(start, end)).groupBy(line).agg(fold.alias("fold"))
-
-
-# Which carrier would keep a fold up to date, and how a scan would be stored.
-
-# Sizes from which a plan changes.
-TREE_FROM, TREE_UNTIL, STORED_BELOW = 256, 128, 4096
-# End of fixed values.
-
-
-def plan_fold(size: int, sub: bool = False, join: bool = False, forced: str | None = None, was: str | None = None) -> str:
-    """running if the fold can be undone, tree if it can be joined and is large (until it has halved), else recomputed whole."""
-    if forced:
-        return forced
-    if sub:
-        return "running"
-    return "tree" if join and size >= (TREE_UNTIL if was == "tree" else TREE_FROM) else "oracle"
-
-
-def plan_scan(size: int, numeric: bool, named: bool) -> tuple[str, str]:
-    """offsets for a large numeric line, else tail; stored while it is named and small, else asked."""
-    return "offsets" if numeric and size >= TREE_FROM else "tail", "stored" if named and size < STORED_BELOW else "asked"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keelson.errors import KeyClash, PlanError
 from keelson.functions.expr import compile_expr, compile_typed, condition, field, kind_of, resolve, truthy
 from keelson.functions.folds import compile_fold, in_stretches, key_text, partial_fold
+from keelson.operators.keyed import crowded
 from keelson.operators.running import TWO_PHASES, estimated_bytes, ordered_pass, running_sum
 
 from .check import check
@@ -32,10 +33,10 @@ def repeated_keys(df: DataFrame, node: Node) -> DataFrame:
 
 
 class Compiler:
-    """Compiles nodes over named tables. verify: also look for keys that meet where they must not (one job each)."""
+    """Compiles nodes over named tables. verify: also look for keys that meet where they must not; crowd: a notice for joins with so many right rows of one key (one job each)."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], verify: bool = False, two_phases: bool | None = None):
-        self.tables, self.verify, self.two_phases = tables, verify, two_phases
+    def __init__(self, tables: Mapping[str, DataFrame], verify: bool = False, two_phases: bool | None = None, crowd: int | None = None):
+        self.tables, self.verify, self.two_phases, self.crowd = tables, verify, two_phases, crowd
 
     def __call__(self, node: Node) -> DataFrame:
         return getattr(self, type(node).__name__.lower())(node)
@@ -65,6 +66,8 @@ class Compiler:
             if kind_of(tx) != kind_of(ty):
                 raise PlanError(f"cannot match {a} ({tx.simpleString()}) with {b} ({ty.simpleString()})")
             pairs.append(x == F.col(f"`{n.name}`").getField(b))
+        if self.crowd is not None:
+            crowded(right, [b for _, b in n.on], self.crowd)
         nested = right.select(F.struct("*").alias(n.name))
         on = pairs[0]
         for p in pairs[1:]:
@@ -125,13 +128,13 @@ def shaped(df: DataFrame, n: Pure, among: Column | None = None) -> DataFrame:
     return df.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") if c in df.columns else F.lit(None).alias(c) for c in names))
 
 
-def compile_plan(node: Node, tables: Mapping[str, DataFrame], values: Mapping[str, Any] | None = None, verify: bool = False) -> DataFrame:
-    """The whole answer of a plan over tables, with holes filled from values."""
+def compile_plan(node: Node, tables: Mapping[str, DataFrame], values: Mapping[str, Any] | None = None, verify: bool = False, crowd: int | None = None) -> DataFrame:
+    """The whole answer of a plan over tables, with holes filled from values; verify and crowd as in `Compiler`."""
     check(node)
     node = fill(node, values or {})
     if left := params(node):
         raise PlanError(f"holes without a value: {', '.join(left)}")
-    return Compiler(tables, verify)(node)
+    return Compiler(tables, verify, crowd=crowd)(node)
 
 
 class Ordering:

@@ -16,10 +16,13 @@ def _keyed(c: Compiler, node: Node) -> DataFrame:
     return df.withColumn("_key", key_column(df, node))
 
 
-def why(node: Node, tables: dict[str, DataFrame], *keys: str) -> DataFrame:
-    """source, key: the source rows behind the rows of a plan that the key texts name."""
+def why(node: Node, tables: dict[str, DataFrame], *keys: str | DataFrame) -> DataFrame:
+    """source, key: the source rows behind the rows of a plan that key texts name: a few of them, or a DataFrame of one column with any number."""
     c = Compiler(tables)
-    rows = _keyed(c, node).filter(F.col("_key").isin(*keys)).drop("_key")
+    if len(keys) == 1 and isinstance(keys[0], DataFrame):
+        rows = _matching(c, node, keys[0].toDF("_key"))
+    else:
+        rows = _keyed(c, node).filter(F.col("_key").isin(*keys)).drop("_key")
     return behind(c, node, rows).distinct()
 
 

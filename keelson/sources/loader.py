@@ -51,7 +51,10 @@ class Kept:
         self.spark.createDataFrame([(self.version, at, value)], "v int, at double, value string").coalesce(1).write.mode("overwrite").parquet(self.folder)
 
     def load(self, now: float) -> str | None:
-        row = self.spark.read.parquet(self.folder).first()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        row = self.spark.read.schema("v int, at double, value string").parquet(self.folder).first()
         if row is None or row["value"] is None or self.most_age is not None and now - row["at"] > self.most_age:
             return None
         if row["v"] == self.version:

@@ -6,12 +6,13 @@ an outbox is a keyed table, so who owes what is a filter.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.errors import KeyClash
@@ -46,12 +47,52 @@ class Entry:
     error: str | None = None
 
 
+class Book:
+    """An outbox's entries in a folder of Parquet: a log of entries as they changed, of which the last of each id counts. args are kept as JSON."""
+
+    SCHEMA = "n long, id string, lane string, name string, args string, at double, state string, attempts int, error string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.n = self.frame().agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+    def _append(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame([(self.n + 1 + i, *r) for i, r in enumerate(rows)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+        self.n += len(rows)
+
+    def put(self, e: Entry) -> None:
+        self._append([(e.id, e.lane, e.name, json.dumps(e.args), float(e.at), e.state, e.attempts, e.error)])
+
+    def forget(self, *idents: str) -> None:
+        self._append([(i, None, None, None, None, None, None, None) for i in idents])
+
+    def frame(self) -> DataFrame:
+        """The entries as rows, with n, when each changed last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        log = self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        last = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), "n").alias("_l"))
+        return last.filter("_l.state is not null").select("_l.*")
+
+    def load(self) -> list[Entry]:
+        """The entries in the order of their offers."""
+        rows = self.frame().orderBy("at", "id").collect()
+        return [Entry(r["id"], r["lane"], r["name"], json.loads(r["args"]), r["at"], r["state"], r["attempts"], r["error"]) for r in rows]
+
+    def compact(self) -> None:
+        """Write the entries anew without their past."""
+        held = self.frame().collect()
+        self.spark.createDataFrame(held, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(self.folder)
+
+
 @dataclass
 class Outbox:
     """Calls to send, first in first out within a lane; an entry's id makes a repeat harmless.
 
     A permanent refusal discards the entry, an unknown outcome repeats it without
-    counting, and other failures count until `most` leaves it stuck, which holds up its lane.
+    counting, and other failures count until `most` leaves it stuck; its lane passes it over until it is retried.
+    keep: a store that outlives the process; what it holds is taken up, and every change of an entry is written there first.
     """
 
     send: Callable[[Entry], None]
@@ -62,6 +103,23 @@ class Outbox:
     #: The last entry that was refused for good, with its error.
     refused: Entry | None = None
     paused: bool = False
+    keep: Book | None = None
+
+    def __post_init__(self):
+        if self.keep is not None:
+            # Whether an entry that was being sent arrived is not known: it is sent again, which its id makes harmless.
+            self.book = {e.id: replace(e, state=WAITING) if e.state == SENDING else e for e in self.keep.load()} | self.book
+
+    def _put(self, entry: Entry) -> None:
+        if self.keep is not None:
+            self.keep.put(entry)
+        self.book[entry.id] = entry
+
+    def _forget(self, *idents: str) -> None:
+        if self.keep is not None and idents:
+            self.keep.forget(*idents)
+        for ident in idents:
+            del self.book[ident]
 
     def pause(self) -> None:
         """Hold the book: entries may still be offered, and none is sent."""
@@ -82,41 +140,39 @@ class Outbox:
             if (self.book[ident].lane, self.book[ident].name) != (lane, name):
                 raise KeyClash(f"the id {ident} names another call")
             return
-        self.book[ident] = Entry(ident, lane, name, args, self.clock())
+        self._put(Entry(ident, lane, name, args, self.clock()))
 
     def step(self) -> int:
-        """Try the head of every lane once; gives how many went through."""
+        """Try the first entry of every lane that is not stuck once; gives how many went through."""
         sent, seen = 0, set()
         if self.paused:
             return sent
         for e in list(self.book.values()):
-            if e.state == DONE or e.lane in seen:
+            if e.state in (DONE, STUCK) or e.lane in seen:
                 continue
             seen.add(e.lane)
-            if e.state == STUCK:
-                continue
-            self.book[e.id] = replace(e, state=SENDING)
+            self._put(replace(e, state=SENDING))
             try:
                 self.send(e)
             except Exception as err:  # noqa: BLE001
                 kind = self.classify(err)
                 if kind == PERMANENT:
-                    del self.book[e.id]
+                    self._forget(e.id)
                     self.refused = replace(e, error=str(err))
                 else:
                     tries = e.attempts + (kind != UNKNOWN)
-                    self.book[e.id] = replace(e, state=STUCK if tries >= self.most else WAITING, attempts=tries, error=str(err))
+                    self._put(replace(e, state=STUCK if tries >= self.most else WAITING, attempts=tries, error=str(err)))
             else:
-                self.book[e.id] = replace(e, state=DONE)
+                self._put(replace(e, state=DONE))
                 sent += 1
         return sent
 
     def retry(self, ident: str) -> None:
-        self.book[ident] = replace(self.book[ident], state=WAITING, attempts=0, error=None)
+        self._put(replace(self.book[ident], state=WAITING, attempts=0, error=None))
 
     def absorb(self, before: float) -> None:
         """Forget what was done before a snapshot that shows it."""
-        self.book = {k: e for k, e in self.book.items() if not (e.state == DONE and e.at < before)}
+        self._forget(*(k for k, e in self.book.items() if e.state == DONE and e.at < before))
 
     def frame(self, spark) -> DataFrame:
         """The book as rows."""

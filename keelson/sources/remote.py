@@ -142,15 +142,25 @@ class Questions:
         return self.open[key]
 
 
-def reconcile(target: Callable[[], Any], apply: Callable[[Any], None], attempts: int = 5, sleep: Callable[[float], None] = time.sleep, base: float = 1.0) -> bool:
-    """Make the world match the latest target: a newer target supersedes one being tried; at most `attempts` failures."""
-    for k in range(attempts):
-        want = target()
+def reconcile(target: Callable[[], Any], apply: Callable[[Any], None], attempts: int = 5, sleep: Callable[[float], None] = time.sleep, base: float = 1.0, most: int = 1000) -> bool:
+    """Make the world match the latest target: a newer target supersedes one being tried, and failures are counted anew for it.
+
+    It gives up after `attempts` failures over one target, or if the target has moved `most` times.
+    """
+    failures, want, moves = 0, target(), 0
+    while failures < attempts and moves < most:
         try:
             apply(want)
         except Exception:  # noqa: BLE001
-            sleep(base * 2**k)
-            continue
-        if target() == want:
+            failures += 1
+            done = False
+            if failures < attempts:
+                sleep(base * 2 ** (failures - 1))
+        else:
+            done = True
+        now = target()
+        if now != want:
+            failures, want, moves = 0, now, moves + 1
+        elif done:
             return True
     return False

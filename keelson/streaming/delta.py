@@ -2,7 +2,8 @@
 
 A change frame has a row for each key that differs: `prev` and `next`, whole rows as structs, null
 where there is none. Filters and projections map both sides; a join recomputes the pairs of
-touched left rows; an aggregation recomputes touched groups; an ordered pass moves
+touched left rows; an aggregation adds and subtracts what changed where its answer is held and its folds can be undone
+exactly, and else recomputes touched groups; an ordered pass moves
 everything behind the first touched row, so it is recomputed and compared.
 """
 
@@ -12,9 +13,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keelson.functions.expr import condition
-from keelson.functions.folds import key_text
+from keelson.functions.expr import compile_typed, condition
+from keelson.functions.folds import Count, Sum, key_text
 from keelson.plans.compile import Compiler, key_column, shaped
 from keelson.plans.nodes import Agg, Expand, Filter, Join, Node, Pure, Scan, Source, Union, key_paths, sources
 
@@ -51,8 +53,9 @@ def _semi(df: DataFrame, keys: DataFrame, on: list[tuple[str, str]]) -> DataFram
 class Delta:
     """Derives the change of any node from the old and new tables and the changes of the sources."""
 
-    def __init__(self, old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], changes: Mapping[str, DataFrame]):
-        self.old, self.new, self.changes = Compiler(old), Compiler(new), changes
+    def __init__(self, old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], changes: Mapping[str, DataFrame], held: Mapping[Node, DataFrame] | None = None):
+        """held: nodes whose old answer is kept as a table."""
+        self.old, self.new, self.changes, self.held = Compiler(old), Compiler(new), changes, held or {}
 
     def __call__(self, node: Node) -> DataFrame | None:
         """prev, next of the node; None if nothing below it changed."""
@@ -116,6 +119,8 @@ class Delta:
 
     def _agg(self, n: Agg) -> DataFrame:
         change = self(n.input)
+        if n in self.held and undoable(n, change.schema["next"].dataType):
+            return self._added(n, change)
         out = []
         for c in (self.old, self.new):
             rows = c(n.input)
@@ -125,6 +130,27 @@ class Delta:
             out.append(inner(Agg(_renamed(n.input, "\0rows"), n.by, n.folds)))
         return differing(out[0], out[1], n)
 
+    def _added(self, n: Agg, change: DataFrame) -> DataFrame:
+        """Counts and sums of what came, less those of what went, on top of the held rows: no group is read again."""
+        parts = []
+        for side, sign in (("next", 1), ("prev", -1)):
+            rows = change.filter(F.col(side).isNotNull()).select(f"{side}.*")
+            one = Compiler({"\0rows": rows})(Agg(_renamed(n.input, "\0rows"), n.by, n.folds))
+            parts.append(one.select(*(F.col(f"`{b}`").alias(f"_g{i}") for i, b in enumerate(n.by)), *((F.col(f"`{k}`") * sign).alias(f"_d{i}") for i, (k, _) in enumerate(n.folds))))
+        moved = parts[0].unionByName(parts[1]).groupBy(*(f"_g{i}" for i in range(len(n.by)))).agg(*(F.sum(f"_d{i}").alias(f"_d{i}") for i in range(len(n.folds))))
+        held = self.held[n]
+        same = F.lit(True)
+        for i, b in enumerate(n.by):
+            same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"_g{i}"))
+        row = F.struct(*(F.col(f"`{c}`") for c in held.columns))
+        met = moved.join(held.select(*(F.col(f"`{c}`") for c in held.columns), row.alias("_held")), same, "left")
+        kinds = {f.name: f.dataType for f in held.schema}
+        fresh = {b: F.col(f"_g{i}") for i, b in enumerate(n.by)} | {k: F.coalesce(F.col(f"`{k}`"), F.lit(0)) + F.col(f"_d{i}") for i, (k, _) in enumerate(n.folds)}
+        now = F.struct(*(fresh[c].cast(kinds[c]).alias(c) for c in held.columns))
+        count = next(k for k, f in n.folds if isinstance(f, Count))
+        left = F.lit(True) if not n.by else fresh[count] > 0
+        return met.select(F.col("_held").alias("prev"), F.when(left, now).alias("next")).filter(~F.col("prev").eqNullSafe(F.col("next")))
+
     def _expand(self, n: Expand) -> DataFrame:
         change = self(n.input)
         parts = []
@@ -134,5 +160,11 @@ class Delta:
         return differing(parts[0], parts[1], n)
 
 
+def undoable(n: Agg, rows: T.StructType) -> bool:
+    """Whether the folds of an aggregation can be added to and taken from without a trace: a count, which tells when a group is gone, and sums of whole numbers, which doubles hold exactly."""
+    whole = lambda f: isinstance(f, Sum) and isinstance(compile_typed(f.of, rows)[1], (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    return any(isinstance(f, Count) for _, f in n.folds) and all(isinstance(f, Count) or whole(f) for _, f in n.folds)
+
+
 def _renamed(node: Node, name: str) -> Source:
     return Source(name, tuple(p[0] for p in key_paths(node)))

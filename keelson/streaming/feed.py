@@ -1,7 +1,8 @@
 """Feeds: one keyed table that is told of rows by hand, by snapshot or by a stream, and read through views.
 
 A feed keeps its rows as a change log over Parquet, so a batch writes what changed and
-no more, and what reads a version is not disturbed by later ones.
+no more, and what reads a version is not disturbed by later ones. A feed opened on the folder
+of an earlier one goes on from its last commit.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from keelson.operators.views import Ordered
 
 from .versions import Versions
 
+COMMIT = "version int, based boolean"
+
 
 @dataclass
 class Feed:
@@ -37,7 +40,18 @@ class Feed:
     def __post_init__(self):
         self.schema = T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
         self._log = Versions(self.spark, self.folder, self.schema, [(k,) for k in self.key])
-        self._log.start()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            for r in self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits").orderBy("version").collect():
+                if r["version"]:
+                    self._log.record(r["version"], r["based"])
+                self.version = r["version"]
+        else:
+            self._log.start()
+            self._commit(0, False)
+
+    def _commit(self, version: int, based: bool) -> None:
+        self.spark.createDataFrame([(version, based)], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def table(self) -> Keyed:
         """The feed as a keyed table of this moment."""
@@ -45,8 +59,10 @@ class Feed:
 
     def _become(self, turn: Callable[[Keyed], Keyed]) -> DataFrame:
         held, to = self.table(), self.version + 1
-        self._log.add(to, held.changes_to(turn(held)))
-        self._log.compact(to)
+        self._log.write(to, held.changes_to(turn(held)))
+        based = self._log.write_base(to)
+        self._commit(to, based)
+        self._log.record(to, based)
         self.version = to
         return self._log.change(to)
 
@@ -63,9 +79,9 @@ class Feed:
         """A batch, puts and drops together, as one version."""
         return self._become(lambda t: t.apply(put, drop, seq))
 
-    def reset(self, rows: DataFrame) -> DataFrame:
+    def reset(self, rows: DataFrame, seq: str | None = None) -> DataFrame:
         """The whole picture anew."""
-        return self._become(lambda t: t.replace(rows))
+        return self._become(lambda t: t.replace(rows, seq))
 
     # What it is asked.
 

@@ -21,7 +21,7 @@ from keelson.errors import KeyClash
 from keelson.operators.keyed import Keyed
 from keelson.plans.check import check
 from keelson.plans.compile import Compiler, compile_plan
-from keelson.plans.nodes import Node, Source, fill, inputs, key_paths
+from keelson.plans.nodes import Agg, Node, Source, fill, inputs, key_paths
 
 from .delta import Delta, differing, netted
 from .versions import Versions
@@ -57,7 +57,7 @@ class Live:
         if not self._restore():
             for log in self.logs.values():
                 log.start()
-            self._commit([], [], "", -1)
+            self._commit(0, [], [], "", -1)
 
     def _restore(self) -> bool:
         """Take up the commits of the folder, if there are any."""
@@ -72,8 +72,8 @@ class Live:
                     getattr(self.logs[name], kind).append(r["version"])
         return True
 
-    def _commit(self, changed: list[str], compacted: list[str], checkpoint: str, batch: int) -> None:
-        self.spark.createDataFrame([(self.version, changed, compacted, checkpoint, batch)], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+    def _commit(self, version: int, changed: list[str], compacted: list[str], checkpoint: str, batch: int) -> None:
+        self.spark.createDataFrame([(version, changed, compacted, checkpoint, batch)], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         self.seen.add((checkpoint, batch))
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
@@ -93,24 +93,33 @@ class Live:
         return found.select("version", "prev", "next")
 
     def apply(self, patches: Mapping[str, tuple[DataFrame | None, DataFrame | None]], checkpoint: str = "", batch: int = -1) -> DataFrame:
-        """Apply (rows to put, keys to drop) to sources as one version; gives the change of the answer."""
+        """Apply (rows to put, keys to drop) to sources as one version; gives the change of the answer.
+
+        A batch that makes keys meet is refused and leaves nothing behind: it counts once its commit is written, and its files before that belong to no version.
+        """
         old, to = self.tables(), self.version + 1
         new, changes = dict(old), {}
         for name, (put, drop) in patches.items():
             before = Keyed(old[name], self.keys[name])
             after = before.apply(None if put is None else put.select(*old[name].columns), drop)
-            self.logs[name].add(to, before.changes_to(after))
-            changes[name], new[name] = self.logs[name].change(to), self.logs[name].at(to)
+            self.logs[name].write(to, before.changes_to(after))
+            changes[name], new[name] = self.logs[name].change(to, True), self.logs[name].at(to, True)
         Compiler(new, verify=True)(self.node)
-        return self._advance(to, Delta(old, new, changes)(self.node), list(patches), checkpoint, batch)
+        return self._advance(to, Delta(old, new, changes, self._held())(self.node), list(patches), checkpoint, batch)
+
+    def _held(self) -> dict[Node, DataFrame]:
+        """The answer of the plan itself, which is kept, if it is an aggregation."""
+        return {self.node: self.rows()} if isinstance(self.node, Agg) else {}
 
     def _advance(self, to: int, change: DataFrame | None, changed: list[str], checkpoint: str, batch: int) -> DataFrame:
         if change is not None:
-            self.logs[ANSWER].add(to, change)
+            self.logs[ANSWER].write(to, change)
             changed = [*changed, ANSWER]
-        compacted = [n for n in changed if self.logs[n].compact(to)]
+        compacted = [n for n in changed if self.logs[n].write_base(to)]
+        self._commit(to, changed, compacted, checkpoint, batch)
+        for n in changed:
+            self.logs[n].record(to, n in compacted)
         self.version = to
-        self._commit(changed, compacted, checkpoint, batch)
         return self.logs[ANSWER].change(to)
 
     def retune(self, values: Mapping[str, Any], node: Node) -> DataFrame:

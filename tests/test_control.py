@@ -123,3 +123,44 @@ def test_the_package_reaches_workers_that_start_elsewhere(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows 3 PlanError" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cell_that_reads_itself_is_named():
+    from keelson.cells import CycleError
+
+    a = Derived(lambda: b.value, "a")
+    b = Derived(lambda: a.value + 1, "b")
+    with pytest.raises(CycleError, match="a -> b -> a"):
+        a.get()
+
+
+def test_a_failure_is_held_for_all_readers():
+    runs, p = [], Port(0)
+
+    def fails():
+        runs.append(1)
+        return 1 / p.value
+
+    a = Derived(fails)
+    b = Derived(lambda: a.value + 1)
+    for x in (a, b, a, b):
+        with pytest.raises(ZeroDivisionError):
+            x.get()
+    assert len(runs) == 1
+    p.set(2)
+    assert b.get() == 1.5 and len(runs) == 2
+
+
+def test_nothing_kept_is_nothing(spark, tmp_path):
+    assert Kept(spark, str(tmp_path / "none")).load(1.0) is None
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from keelson.operators import running
+
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        running.checkpointed(SimpleNamespace(sparkSession=session))

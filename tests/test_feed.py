@@ -1,3 +1,5 @@
+import pytest
+
 import random
 
 from keelson.functions.expr import field
@@ -87,3 +89,22 @@ def test_a_held_book_sends_nothing():
     assert box.step() == 0 and box.pending(lambda e: e.lane) == {"x", "y"}
     assert box.resume() == 1 and box.pending(lambda e: e.lane) == set()
     assert box.refused.id == "b" and box.refused.error == "refused"
+
+
+def test_a_feed_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    from keelson.streaming import feed as module
+
+    new = lambda: Feed(spark, str(tmp_path), "id long, v string", ("id",))
+    rows = lambda *some: spark.createDataFrame(list(some), "id long, v string")
+    feed = new()
+    feed.take(rows((1, "a"), (2, "b")))
+    feed.lose(spark.createDataFrame([(2,)], "id long"))
+    again = new()
+    assert again.version == 2 and [tuple(r) for r in again.rows().collect()] == [(1, "a")]
+    with monkeypatch.context() as m:
+        m.setattr(module, "COMMIT", "no such type")
+        with pytest.raises(Exception):
+            again.take(rows((9, "lost")))
+    third = new()
+    third.take(rows((3, "c")))
+    assert third.version == 3 and sorted(tuple(r) for r in new().rows().collect()) == [(1, "a"), (3, "c")]

@@ -111,3 +111,27 @@ def test_netting(spark):
 def test_window_changes(spark):
     a, b = spark.createDataFrame([(1, 1), (2, 2)], "id long, v long"), spark.createDataFrame([(2, 3), (4, 4)], "id long, v long")
     assert sorted((r["what"], r["row"]["id"]) for r in window_changes(a, b, ["id"]).collect()) == [("changed", 2), ("entered", 4), ("left", 1)]
+
+
+def test_a_refused_batch_leaves_nothing_behind(spark, tmp_path):
+    live = Live(spark, PLANS["union"].tree(), SCHEMAS, str(tmp_path))
+    rows = lambda *ids: spark.createDataFrame([(i, 1, 1.0) for i in ids], SCHEMAS["orders"])
+    live.apply({"orders": (rows(1), None)})
+    with pytest.raises(KeyClash):
+        live.apply({"extra": (rows(1), None)})
+    live.apply({"orders": (rows(2), None)})
+    assert live.tables()["extra"].count() == 0 and sorted(r["id"] for r in live.rows().collect()) == [1, 2]
+    again = Live(spark, PLANS["union"].tree(), SCHEMAS, str(tmp_path))
+    assert again.version == 2 and again.tables()["extra"].count() == 0 and again.rows().count() == 2
+
+
+def test_counts_and_whole_sums_are_added_to(spark, tmp_path, monkeypatch):
+    from keelson.streaming import delta
+
+    node = ORDERS.groupBy("client", n=Count(), total=Sum(field("client"))).tree()
+    live = Live(spark, node, SCHEMAS, str(tmp_path))
+    rows = lambda *some: spark.createDataFrame([(i, c, 1.0) for i, c in some], SCHEMAS["orders"])
+    live.apply({"orders": (rows((1, 5), (2, 5), (3, None)), None)})
+    monkeypatch.setattr(delta, "_semi", lambda *a: 1 / 0)  # no group is read again
+    live.apply({"orders": (rows((2, 6), (4, 5)), spark.createDataFrame([(3,)], "id long"))})
+    assert sorted(map(tuple, live.rows().collect())) == [(5, 2, 10.0), (6, 1, 6.0)]

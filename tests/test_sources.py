@@ -1,7 +1,7 @@
 import pytest
 
 from keelson.errors import KeyClash
-from keelson.sources.outbox import DONE, STUCK, Outbox, active, backoff, owed, readable, stuck
+from keelson.sources.outbox import DONE, SENDING, STUCK, WAITING, Book, Outbox, active, backoff, owed, readable, stuck
 from keelson.sources.remote import FAILED, LOADING, PERMANENT, TEMPORARY, UNKNOWN, VALUE, Questions, Remote, RemoteSource, age_of, first_of, held_of, is_fresh, reconcile, status_of, together
 
 
@@ -82,17 +82,53 @@ def test_outbox(spark):
         box.offer("a", "other", "call")
     for _ in range(4):
         box.step()
-    assert sent == ["a"] and "d" not in box.book and box.book["b"].state == STUCK and box.book["e"].attempts == 0
+    assert sent == ["a", "c"] and "d" not in box.book and box.book["b"].state == STUCK and box.book["e"].attempts == 0
     df = box.frame(spark)
-    assert {r["id"] for r in owed(df).collect()} == {"b", "c", "e"} and [r["id"] for r in stuck(df).collect()] == ["b"] and {r["id"] for r in active(df).collect()} == {"c", "e"}
+    assert {r["id"] for r in owed(df).collect()} == {"b", "e"} and [r["id"] for r in stuck(df).collect()] == ["b"] and {r["id"] for r in active(df).collect()} == {"e"}
     fail.clear()
     box.retry("b")
     box.step(), box.step()
-    assert sent == ["a", "b", "e", "c"] and all(e.state == DONE for e in box.book.values())
+    assert sent == ["a", "c", "b", "e"] and all(e.state == DONE for e in box.book.values())
     box.absorb(2.0)
     assert not box.book and [backoff(k) for k in (0, 3, 9)] == [1.0, 8.0, 60.0]
 
 
+def test_a_book_outlives_its_process(spark, tmp_path):
+    def send(e):
+        if e.id == "a":
+            raise OSError("no")
+        if e.id == "c":
+            raise KeyboardInterrupt  # the process ends while it sends
+
+    new = lambda: Outbox(send, most=1, clock=lambda: 1.0, keep=Book(spark, str(tmp_path / "book")))
+    box = new()
+    for i, lane, args in (("a", "x", {"n": 1}), ("b", "x", [1, 2]), ("c", "y", None)):
+        box.offer(i, lane, "call", args)
+    with pytest.raises(KeyboardInterrupt):
+        for _ in range(3):
+            box.step()
+    assert {e.id: e.state for e in box.keep.load()} == {"a": STUCK, "b": WAITING, "c": SENDING} and box.keep.load()[0].args == {"n": 1}
+    again = new()
+    assert {e.id: e.state for e in again.book.values()} == {"a": STUCK, "b": WAITING, "c": WAITING} and again.book["b"].args == [1, 2]
+    again.send = lambda e: None
+    again.step()
+    again.absorb(2.0)
+    again.retry("a")
+    again.keep.compact()
+    assert {e.id: (e.state, e.attempts) for e in new().book.values()} == {"a": (WAITING, 0)}
+
+
+def test_a_moving_target_is_followed_to_its_end():
+    world, targets = [], iter([1, 2, 3, 4, 5, 6, 7, 7, 7])
+    assert reconcile(lambda: next(targets), world.append, attempts=3, sleep=lambda s: None) and world == [1, 2, 3, 4, 5, 6, 7]
+
+    def broken(x):
+        raise OSError
+
+    naps = []
+    assert not reconcile(lambda: 1, broken, attempts=3, sleep=naps.append) and naps == [1.0, 2.0]
+
+
 def test_kept_envelopes(spark):
     df = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "b"), (2, 1.0, "c"), (2, 5.0, None)], "v int, at double, value string")
     assert [r["value"] for r in readable(df, 2, 10.0, 6.0).collect()] == ["b"]

@@ -8,7 +8,7 @@ from keelson.errors import KeyClash
 from keelson.functions.expr import field, lit
 from keelson.functions.folds import Count, Sum, down, up
 from keelson.operators import formulas, logs, overlay, views
-from keelson.operators.keyed import Keyed, alike, by_revision, crowded
+from keelson.operators.keyed import Keyed, alike, by_revision, crowded, same_items
 
 DDL = "id long, grp string, score long, rev long"
 
@@ -90,12 +90,6 @@ def test_blocks_and_ranges(spark):
     assert views.range_fold(df, "line", "at", 10, 12, F.sum("v")).first()["fold"] == 33
 
 
-def test_carriers():
-    assert views.plan_fold(10, sub=True) == "running" and views.plan_fold(300, join=True) == "tree" and views.plan_fold(200, join=True) == "oracle"
-    assert views.plan_fold(200, join=True, was="tree") == "tree" and views.plan_fold(9, forced="tree") == "tree"
-    assert views.plan_scan(5000, True, True) == ("offsets", "asked") and views.plan_scan(10, True, True) == ("tail", "stored")
-
-
 def test_crowded_joins_are_noticed(spark):
     heard = []
     off = notices.on_notice(lambda kind, facts: heard.append((kind, facts["rows"])))
@@ -154,3 +148,50 @@ def test_log_search(spark):
     assert len(h) == 20 and h[0] == 1 and h[2] == 1 and h[19] == 1 and sum(h.values()) == 3
     bars = {r["n"]: r["height"] for r in logs.bar_heights(spark.createDataFrame([(0,), (1,), (1000,)], "n int"), "n").collect()}
     assert bars[0] == 0.0 and bars[1] >= 4.0 and abs(bars[1000] - 100) < 1e-9
+
+
+def test_signs_bind_tighter_than_powers(spark):
+    row = spark.createDataFrame([("3", "2.5")], "A string, B string")
+    value = lambda text: row.select(formulas.compile_row(text, ["A", "B"]).alias("v")).first()["v"]
+    assert (value("-2^2"), value("2^-1"), value("2^3^2"), value("-A1^2"), value("0-2^2")) == (4.0, 0.5, 512.0, 9.0, -4.0)
+    assert (value("ROUND(B1)"), value("round(b1, 0)"), value("sum(a1:b1)"), value("SUM()"), value("PROD()"), value("AVG()")) == (2.0, 2.0, 5.5, 0.0, 1.0, None)
+    with pytest.raises(formulas.FormulaError):
+        formulas.parse("ROUND(1, 2, 3)")
+
+
+def test_a_page_with_several_revisions_of_a_key(spark):
+    empty = Keyed(spark.createDataFrame([], DDL), ("id",), by_revision("rev"))
+    page = spark.createDataFrame([(1, "new", 1, 5), (1, "old", 1, 1), (2, "b", 2, 2), (1, "mid", 1, 3)], DDL)
+    for t in (empty.put(page), empty.replace(page), empty.put(page.orderBy("rev")), empty.put(page, seq="rev")):
+        assert {r["id"]: r["rev"] for r in t.df.collect()} == {1: 5, 2: 2}
+
+
+def test_repeated_keys_without_an_order_are_refused(spark):
+    t = Keyed(spark.createDataFrame([], DDL), ("id",))
+    same = spark.createDataFrame([(1, "a", 1, 1), (1, "a", 1, 1), (2, "b", 2, 2)], DDL)
+    assert t.put(same).df.count() == 2
+    with pytest.raises(Exception, match="several rows have the key"):
+        t.put(spark.createDataFrame([(1, "a", 1, 1), (1, "b", 1, 1)], DDL)).df.collect()
+    numbered = spark.createDataFrame([(1, "a", 1, 1, 2), (1, "b", 1, 1, 1)], DDL + ", n int")
+    assert t.replace(numbered, seq="n").df.collect()[0][1] == "a"
+
+
+def test_maps_are_compared_by_their_entries(spark):
+    ddl = "id long, m map<string,struct<x:int,y:map<string,int>>>"
+    a = Keyed(spark.createDataFrame([(1, {"p": (1, {"q": 1}), "r": (2, None)}), (2, {}), (3, None)], ddl), ("id",))
+    b = Keyed(spark.createDataFrame([(1, {"r": (2, None), "p": (1, {"q": 1})}), (2, None), (3, None)], ddl), ("id",))
+    assert [r["prev"]["id"] for r in a.changes_to(b).collect()] == [2]
+    met = a.df.withColumn("n", F.col("m"))
+    assert met.filter(alike(["m"], ["n"], met)).count() == 3 and met.filter(same_items(met, "m", "n")).count() == 3
+    assert a.put(b.df).df.count() == 3
+
+
+def test_folds_over_rows_with_maps_and_long_sums(spark):
+    from keelson.functions.expr import field
+    from keelson.functions.folds import Collect, Custom, Sum
+    from keelson.plans.builder import from_
+
+    rows = spark.createDataFrame([(1, "a", {"x": 1}, 2**62), (2, "a", {"y": 2}, 2**62), (3, "a", None, 2**62)], "id long, g string, m map<string,int>, n long")
+    plan = from_("t", "id").groupBy("g", total=Sum(field("n")), all=Collect(), maps=Collect(field("m")), seen=Custom(F.lit(""), lambda h, r: F.concat(h, r["id"].cast("string"))))
+    got = plan.batch({"t": rows}).collect()[0]
+    assert got["total"] == 3.0 * 2**62 and [r["id"] for r in got["all"]] == [1, 2, 3] and got["maps"] == [{"x": 1}, {"y": 2}, None] and got["seen"] == "123"
