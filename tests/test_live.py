@@ -89,7 +89,7 @@ def test_a_stream_of_changes_is_followed(spark, tmp_path):
 
 
 def test_logs_are_compacted_and_forgotten(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(Versions.compact, "__defaults__", (2,))
+    monkeypatch.setattr(Versions.write_base, "__defaults__", (2,))
     monkeypatch.setattr(live_module, "KEEP", 2)
     live = Live(spark, ORDERS.filter(field("sum") > 1).tree(), SCHEMAS, str(tmp_path))
     for k in range(6):
