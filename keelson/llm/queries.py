@@ -63,6 +63,45 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.windows(rows.unionByName(more)))
 
 
+# One turn after the other as in the operator: the tokens of a rendered line decide the windows, and only the number of characters shows in the result.
+_TOKENS = chat_windows.TOKEN.replace("'", "''")
+_ESCAPED = "replace(replace(replace(replace(replace(replace({}, '\\', '\\\\'), '<|', '<\\|'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]')"
+ORACLE["op5_chat_windows"] = f"""
+WITH said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(c, turn, role, text)
+),
+line AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    '<|im_start|>' || {_ESCAPED.format("role")} || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS line
+  FROM said
+),
+counted AS (SELECT *, len(regexp_extract_all(line, '{_TOKENS}')) AS tokens, length(line) AS size, i = 0 AND role = 'system' AS leads FROM line),
+led AS (SELECT *, CASE WHEN leads THEN 0 ELSE tokens END AS body, sum(CASE WHEN leads THEN tokens ELSE 0 END) OVER (PARTITION BY c)::BIGINT AS head FROM counted),
+summed AS (SELECT *, greatest(2048 - head, 2) AS room, (sum(body) OVER (PARTITION BY c ORDER BY i) - body)::BIGINT AS before FROM led),
+stepped AS (SELECT *, before // (room // 2) AS step, body > room // 2 AS large FROM summed),
+turned AS (
+  SELECT *, (i > 0 AND NOT lag(leads, 1, false) OVER o AND (step <> lag(step) OVER o OR large OR lag(large) OVER o))::INT AS turned FROM stepped WINDOW o AS (PARTITION BY c ORDER BY i)
+),
+placed AS (SELECT *, sum(turned) OVER (PARTITION BY c ORDER BY i)::BIGINT AS w FROM turned),
+win AS (SELECT c, w, min(i) AS begin, min(before) AS start, sum(body)::BIGINT AS spent, max(room) AS room, sum(size)::BIGINT AS size FROM placed GROUP BY c, w),
+past AS (
+  SELECT win.c, win.w, sum(p.size)::BIGINT AS size FROM win JOIN placed p ON win.c IS NOT DISTINCT FROM p.c AND p.i BETWEEN win.begin - 4 AND win.begin - 1 AND NOT p.leads AND win.start - p.before <= win.room - win.spent
+  GROUP BY win.c, win.w
+),
+lead_line AS (SELECT c, size FROM placed WHERE leads),
+long AS (
+  SELECT win.c, sum(win.size + coalesce(past.size, 0) + CASE WHEN win.w > 0 THEN coalesce(lead_line.size, 0) ELSE 0 END + {len(chat_windows.NEW)})::BIGINT AS formatted_chars
+  FROM win LEFT JOIN past ON win.c IS NOT DISTINCT FROM past.c AND win.w = past.w LEFT JOIN lead_line ON win.c IS NOT DISTINCT FROM lead_line.c GROUP BY win.c
+),
+whole AS (
+  SELECT c, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS learnt FROM placed GROUP BY c
+)
+SELECT whole.c AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM whole JOIN long ON whole.c IS NOT DISTINCT FROM long.c
+"""
+
+
 def op6_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_offsets.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 

@@ -226,3 +226,39 @@ def test_escapes_come_back(spark, text):
 
     made, back = spark.range(1).select(chat_windows.escaped(F.lit(text)).alias("e")).select("e", chat_windows.unescaped(F.col("e"))).first()
     assert back == text and not re.search(r"<\||</?s>|\[/?INST\]", made)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_chat_query_against_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '/root/testdata/sf{sf}/conversations.parquet'")
+    want = c.sql(queries.ORACLE["op5_chat_windows"])
+    got = queries.QUERIES["op5_chat_windows"](spark, f"/root/testdata/sf{sf}")
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    rows = sorted(map(tuple, got.select(*columns).collect()))
+    assert rows == sorted(want.project(", ".join(columns)).fetchall()) and rows[0][0] == -1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1  # a text travels once
+
+
+def test_the_budget_bounds_every_script(spark):
+    text = {"latin": "word " * 400, "han": "\u6f22\u5b57" * 900, "long": "x" * 4000}
+    rows = [(k, n, "user" if n % 2 == 0 else "assistant", t[: len(t) // 2]) for k, t in text.items() for n in range(8)]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    made = chat_windows.windows(df, budget=2048).collect()
+    assert all(r["n_tokens"] <= 2048 for r in made)
+    assert all(r["formatted"].count("\u6f22") * 2 <= 2048 and len(r["formatted"]) <= 4 * 2048 for r in made)
+
+
+def test_odd_turns(spark):
+    """Null conversation, turn, role and text, repeated rows, a very long turn, and columns with the names used inside."""
+    long = "so it goes. " * 60_000
+    rows = [(None, 1, "user", "a"), (None, None, None, None), (1, 1, "user", "same"), (1, 1, "user", "same"), (1, 2, "assistant", long), (1, 3, "assistant", ""), (2, 0, "system", "be brief")]
+    df = spark.createDataFrame([(*r, 7, "x", 5) for r in rows], "conv_id long, turn long, role string, text string, i int, line string, w int")
+    back = {r["conv_id"]: r for r in chat_windows.read_back(chat_windows.windows(df, 64, 2)).collect()}
+    assert {k: r["n_turns"] for k, r in back.items()} == {None: 2, 1: 4, 2: 1}
+    digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert back[None]["turns_sha256"] == digest(("", ""), ("user", "a")) and back[1]["turns_sha256"] == digest(("user", "same"), ("user", "same"), ("assistant", long), ("assistant", ""))
+    assert back[1]["loss_chars"] == len(long) and back[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
