@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keelson.llm import chat_windows, license_templates, mtree, piece_offsets, queries
 
@@ -62,6 +63,34 @@ def test_many_trees_and_blocks(spark, monkeypatch):
     same_as_sql(spark, "op1_mtree_search")
 
 
+def test_an_id_with_several_vectors_is_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 0.9]), (3, [0.5, 0.5])]
+    got = mtree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 65536), (0, 2, 256 * 230), (0, 3, 128 * 256)]
+
+
+def test_bounds_spare_trees_and_a_hot_vector_is_split(spark, monkeypatch):
+    """Clustered rows, a third of them copies of one vector: most trees are never asked, no tree is large, and the answer is that of brute force."""
+    monkeypatch.setattr(mtree, "TREE", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)) * 0.05
+    x[600:] = x[0]
+    ids = rng.permutation(10_000)[:900]
+    vectors = mtree.vectors_of(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")).cache()
+    asked = []
+    answers = mtree._answers
+    monkeypatch.setattr(mtree, "_answers", lambda forest, routed, k: (asked.append((forest.count(), [len(mtree.MTree.loads(r["blob"]).ids) for r in forest.collect()], routed.select("cell", "part").distinct().count())), answers(forest, routed, k))[1])
+    chosen = vectors.filter(F.col("vec_id") % 25 == 0)
+    got = {}
+    for r in mtree.top_k(vectors, chosen, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    q = {r["vec_id"]: np.array(r["q"]) for r in vectors.collect()}
+    assert got == {i: brute(list(q), list(q.values()), q[i], 5, i) for i in q if i % 25 == 0}
+    trees, sizes, _ = asked[0]
+    assert trees >= 18 and max(sizes) < 120 and asked[1][2] < trees
+
+
 def same_as_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     c = duckdb.connect()
