@@ -1,7 +1,7 @@
 """License scans by template matching.
 
 A template is wording with markup: what stands between <<optional>> and <<end>> may be
-left out, and a replaceable region is <<words a-b>> (any a to b words) or <<one of x|y>> (one
+left out, also within another such region, and a replaceable region is <<words a-b>> (any a to b words) or <<one of x|y>> (one
 of these words). Templates compile to automata over words; a text is accepted where some stretch
 of its words leads an automaton from start to end, so all mandatory wording
 stands there exactly. The longest run of mandatory words is looked up first, and the automaton
@@ -10,7 +10,7 @@ runs only from the places that can reach it.
 Words are maximal runs of digits, letters a-z and anything beyond ASCII, after A-Z are lower-cased.
 
 Defined results: a null text counts as empty: no words, no labels, null first_word and
-last_word; null ids and repeated rows are rows of their own; an empty table gives no
+last_word; null ids and repeated rows are rows of their own; a text of any length is scanned whole; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -45,6 +45,12 @@ TEMPLATES |= {
     "gpl-3.0-title": "gnu general public license version 3 29 june 2007",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this <<words 1-2>> and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<words 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
 }
+TEMPLATES |= {
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<optional>> <<one of http|https>> <<optional>> www <<end>> apache org licenses license 2 0 <<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<words 1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<words 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit-file": "mit license <<optional>> mit <<end>> copyright <<optional>> c <<end>> <<words 1-8>> <<optional>> all rights reserved <<end>> " + TEMPLATES["mit-text"],
+    "bsd-3-file": "copyright <<optional>> c <<end>> <<words 1-8>> <<optional>> all rights reserved <<end>> " + TEMPLATES["bsd-3-clause"],
+}
 # End of fixed values.
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))

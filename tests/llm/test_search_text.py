@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -164,7 +165,9 @@ def test_encoding_documents(spark):
 
 
 def as_regex(template):
-    out = re.sub(r"<<optional>> (.*?) <<end>>", lambda m: f"(?:{m[1]} )?", template)
+    out = template
+    while "<<optional>>" in out:  # the innermost first
+        out = re.sub(r"<<optional>> ((?:(?!<<optional>>|<<end>>).)*) <<end>>", lambda m: f"(?:{m[1]} )?", out)
     out = re.sub(r"<<one of (.*?)>>", lambda m: f"(?:{m[1]})", out)
     out = re.sub(r"<<words (\d+)-(\d+)>> ?", lambda m: f"(?:[^ ]+ ){{{m[1]},{m[2]}}}", out)
     return re.compile(" " + re.sub(r"\)\? ", ")?", out) + " ")
@@ -209,6 +212,51 @@ def test_whole_notices_and_altered_ones():
     assert of(MIT.replace("WITHOUT WARRANTY", "WITH A WARRANTY")) == ["mit-notice"] and of(GPL.replace("version 3", "version 2")) == ["gpl"]
 
 
+def made_from(template, rng):
+    """A text that a template accepts, by chance, and the places of its mandatory words."""
+    out, fixed, skipping = [], [], []
+    for mark, word in license_templates._MARKUP.findall(template):
+        if mark == "optional":
+            skipping.append(bool(skipping and skipping[-1]) or rng.random() < 0.5)
+        elif mark == "end":
+            skipping.pop()
+        elif skipping and skipping[-1]:
+            continue
+        elif word:
+            fixed += [len(out)] if not skipping else []
+            out.append(word)
+        elif mark.startswith("one of "):
+            out.append(rng.choice(mark[7:].split("|")))
+        else:
+            low, high = map(int, mark.removeprefix("words ").split("-"))
+            out += [f"name{k}" for k in range(rng.randint(low, high))]
+    return out, fixed
+
+
+@pytest.mark.parametrize("name", license_templates.TEMPLATES)
+def test_texts_made_from_templates_and_near_misses(name):
+    rng, template = random.Random(name), license_templates.TEMPLATES[name]
+    automaton, sep = license_templates.Automaton.compile(template), ["\n", "; ", " -- ", " "]
+    accepts = lambda words: automaton.found(w := license_templates.words_of(" ".join(x + rng.choice(sep) for x in words).encode()), b" " + b" ".join(w) + b" ")
+    for _ in range(20):
+        words, fixed = made_from(template, rng)
+        around = ["before"] * rng.randrange(3), ["after"] * rng.randrange(3)
+        assert accepts([*around[0], *words, *around[1]])
+        k = rng.choice(fixed)
+        assert not accepts([*words[:k], "altered", *words[k + 1 :]])
+        inner = fixed[len(fixed) // 2]
+        assert not accepts([*words[:inner], *words[inner + 1 :]]) or words[inner - 1 : inner + 2].count(words[inner]) > 1
+
+
+def test_long_texts_are_scanned_whole(spark):
+    long = "nothing of note here " * 200_000 + "Licensed under an MIT License"
+    df = spark.createDataFrame([(1, long, "x", 1.0)], "doc_id long, text string, labels string, score double")
+    r = license_templates.label(df).first()
+    assert len(long) > 4 * 10**6 and r["n_words"] == 800_005 and r["labels"] == "" and r["score"] == 0.0
+    granted = license_templates.label(df.selectExpr("doc_id", "replace(text, 'Licensed under an', 'Released under the') as text")).first()
+    assert granted["labels"] == "mit" and granted["score"] == 1.0
+
+
 def test_licenses_of_documents(spark):
     df = spark.createDataFrame([(1, None, "q"), (1, "cc by", "q"), (None, "cc by", "q")], "doc_id long, text string, labels string")
     assert sorted(map(str, ((r["doc_id"], r["n_base"], r["labels"]) for r in license_templates.label(df).collect()))) == sorted(map(str, [(1, 0, ""), (1, 1, "cc-by"), (None, 1, "cc-by")]))
