@@ -158,10 +158,13 @@ def score(docs: DataFrame, forest: Forest, least: float = 0.7, doc_id: str = "do
 
 
 def keep_good(docs: DataFrame, forest: Forest, least: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs with a score of `least` or more, with all their columns."""
+    """The rows of docs with a score of `least` or more, with all their columns, whatever their names."""
+    own = {f"_{i}": c for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own)
+    at = next(k for k, c in own.items() if c == text)
 
     def rows(batches):
-        for b in in_slices(batches, text):
-            yield b.filter(pa.array(forest.score(features(as_bytes(b.column(text)))) >= least))
+        for b in in_slices(batches, at):
+            yield b.filter(pa.array(forest.score(features(as_bytes(b.column(at)))) >= least))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return plain.mapInArrow(rows, plain.schema).select(*(F.col(k).alias(c) for k, c in own.items()))

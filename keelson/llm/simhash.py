@@ -327,8 +327,8 @@ def _dealt(nodes: DataFrame, n: int, columns: list[str], segments: int, bucket:
 
     def deal(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 1 << 13):
-                held = [_plain(b.column(c).slice(i, 1 << 13)) for c in columns]
+            for i in range(0, b.num_rows, 1 << 11):
+                held = [_plain(b.column(c).slice(i, 1 << 11)) for c in columns]
                 _, which, key = variants(held[0], segments)
                 to = (_spread(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")

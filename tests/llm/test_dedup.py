@@ -326,3 +326,28 @@ def test_query_against_sql(spark):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(c.sql(queries.ORACLE["op4_substring_dedup"]).project("doc_id, n_words, n_removed, kept_sha256").fetchall())
+
+
+def test_near_duplicate_query_against_brute_force(spark):
+    """The registered query on a whole small table: plain fingerprints, every pair of them, plain components."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    fp = {i: brute_fingerprint(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= 2 and root[a] > root[b]:
+                    root[a], changed = root[b], True
+    got = queries.QUERIES["op7_simhash"](spark, sf).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fp[i]:016x}", root[i]) for i in fp} and len(got) == len(rows)
+    assert len(set(root.values())) < len(root)
+
+
+def test_very_long_texts_have_fingerprints(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, [(1, long), (2, long + " x"), (3, "w1 w2")])).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+    assert got[1]["fingerprint"] == f"{simhash.fingerprint(long.encode()):016x}"

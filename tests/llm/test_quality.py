@@ -247,3 +247,43 @@ def test_pipeline(spark):
     assert at.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
     whole = corpus_pipeline.run(spark, SF)
     assert whole.count() == at.count() and corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, whole string, _text string, _n int, _kept long, kept string, `row` string, pattern int, `key` long, block int, passed string, `in.text` string, no_text int, t string"
+
+
+def odd_documents(spark):
+    """Null ids and texts, empty and blank ones, repeated rows, ties, a very long text, and extra columns with the names used inside."""
+    row = lambda i, t: (i, t, "en", None if i is None else "web", None if t is None else len(t), "w", "x", 1, 2, "k", "r", 3, 4, 5, "p", "in", 6, "tt")
+    good, other, long = prose(20), prose(60)[1300:], prose(40_000)
+    rows = [(1, good), (1, good), (2, good), (3, other), (None, None), (None, good), (4, None), (5, ""), (6, " \n\t"), (7, long), (7, other), (8, "a b c " * 50)]
+    return spark.createDataFrame([row(*r) for r in rows], ODD)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_documents(spark, stage):
+    df, f = odd_documents(spark), corpus_pipeline.STAGES[stage][1]
+    out = f(spark, df, SF)
+    got, empty = out.collect(), f(spark, df.limit(0), SF)
+    assert empty.columns == out.columns and empty.count() == 0
+    if stage == 4:
+        pieces = {}
+        for r in got:
+            pieces.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in p) <= 1024 for p in pieces.values()) and sum(r["piece"] == 0 for r in got) == df.count()
+        return
+    assert out.schema.simpleString() == df.schema.simpleString()
+    rows = [tuple(r) for r in df.collect()]
+    if stage < 3:
+        left = list(rows)
+        for r in got:
+            left.remove(tuple(r))  # every row that is kept is a row as it came
+    if stage == 1:
+        assert Counter((r["doc_id"], len(r["text"])) for r in got) == Counter((r[0], len(r[1])) for r in rows if r[1] and len(r[1]) > 700)
+    if stage == 2:  # one of each group of copies, whole; rows without an id stay
+        assert sorted(str((r["doc_id"], len(r["text"] or ""))) for r in got) == sorted(str((r[0], len(r[1] or ""))) for r in [rows[0], rows[3], rows[4], rows[5], rows[6], rows[9], rows[11]])
+    if stage == 3:
+        assert len(got) == len(rows) and [r["n_chars"] for r in got if r["text"] is None] == [None, None]
+        extra = lambda r: (r[0], *r[5:])
+        assert Counter(map(extra, map(tuple, got))) == Counter(map(extra, rows))
+        assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
