@@ -666,3 +666,11 @@ def alike_maps(t):
     now = F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_size") == 1), F.create_map(F.lit("size"), F.col("p_size"), F.lit("odd"), F.lit(1))).otherwise(F.col("was"))
     part = part.withColumn("now", now)
     return part.filter(alike(["was"], ["now"], part)).select("p_partkey", "p_size")
+
+
+@query(
+    "SELECT o_orderstatus AS list, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders QUALIFY place < 5 "
+    "UNION ALL SELECT 'all', o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders QUALIFY place < 5"
+)
+def lists_by_with_whole(t):
+    return views.lists_by(_orders(t), "o_orderstatus", (down("o_totalprice"),), (0, 5), whole="all").select("list", "o_orderkey", F.col("place").cast("long"))

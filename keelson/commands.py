@@ -62,6 +62,36 @@ class Command:
             self._thread.join(seconds)
 
 
+class Whenever:
+    """Runs a command each time `test` turns true (is true, and was not when last looked at); `look` is called by whoever drives it, or `every` seconds by `start`.
+
+    What happens while the command still runs is the command's policy: drop, restart or queue.
+    """
+
+    def __init__(self, test: Callable[[], Any], command: Callable[[], Any]):
+        self.test, self.command, self.was, self._ended = test, command, False, threading.Event()
+
+    def look(self) -> bool:
+        """Whether the test has just turned true, in which case the command was called."""
+        now, turned = bool(self.test()), False
+        if now and not self.was:
+            turned = True
+            self.command()
+        self.was = now
+        return turned
+
+    def start(self, every: float = 0.05) -> Whenever:
+        def run():
+            while not self._ended.wait(every):
+                self.look()
+
+        threading.Thread(target=run, daemon=True).start()
+        return self
+
+    def stop(self) -> None:
+        self._ended.set()
+
+
 def when(test: Callable[[], Any], seconds: float = 60.0, every: float = 0.05, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Any:
     """The first true value of test, asked again and again; TimeoutError if there is none in time."""
     end = clock() + seconds

@@ -68,8 +68,14 @@ def list_of(table: Keyed, where: Expr | None = None, order=(), window: tuple[int
     return view.rows() if window is None else view.slice(*window)
 
 
-def lists_by(table: Keyed, name: str, order=(), window: tuple[int, int] | None = None) -> DataFrame:
-    """The first rows of the list of every value of a field, with `place` in it."""
+def lists_by(table: Keyed, name: str, order=(), window: tuple[int, int] | None = None, whole: str | None = None) -> DataFrame:
+    """The first rows of the list of every value of a field, with `place` in it; whole: also the list of all rows, under this name, and a column `list` with each list's name."""
+    if whole is not None:
+        each = lists_by(table, name, order, window).withColumn("list", F.col(f"`{name}`").cast("string"))
+        every = Ordered(table, *order).placed()
+        if window is not None:
+            every = every.filter((F.col("place") >= max(window[0], 0)) & (F.col("place") < window[1]))
+        return each.unionByName(every.withColumn("list", F.lit(whole)))
     sort = Ordered(table, *order)._sort()
     out = table.df.withColumn("_n", F.row_number().over(Window.partitionBy(f"`{name}`").orderBy(*sort)))
     if window is not None:  # on the row number itself, so that each task keeps only the first rows of a value

@@ -5,7 +5,9 @@ The clock and the loader are given, so everything here can be driven by hand.
 
 from __future__ import annotations
 
+import queue
 import random
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
@@ -32,6 +34,20 @@ class Remote:
     kind: str | None = None
 
 
+def loading(held: Any = None, at: float | None = None) -> Remote:
+    """Asked, and not answered yet; `held` is what is known so far."""
+    return Remote(LOADING, held, at)
+
+
+def arrived(value: Any, at: float) -> Remote:
+    return Remote(VALUE, value, at)
+
+
+def refused(error: str, kind: str = UNKNOWN, was: Remote | None = None) -> Remote:
+    """Failed; the last good value of `was` stays held."""
+    return replace(was or Remote(), state=FAILED, error=error, kind=kind)
+
+
 def held_of(r: Remote) -> Any:
     return r.held
 
@@ -80,7 +96,12 @@ class Tally:
 
 @dataclass
 class RemoteSource:
-    """One question, asked by `load`; retries back off doubling with full jitter, up to 32 times the base."""
+    """One question, asked by `load`; retries back off doubling with full jitter, up to 32 times the base.
+
+    calm: no question follows another within so many seconds. timeout: a load that takes longer counts as a failure of unknown outcome
+    (its thread is left to end by itself). partial: `load` is given a function to tell what it has so far, which is
+    published as still loading.
+    """
 
     load: Callable[[], Any]
     every: float | None = None
@@ -88,6 +109,10 @@ class RemoteSource:
     retries: int = 0
     base: float = 1.0
     floor: float = 0.0
+    calm: float = 0.0
+    timeout: float | None = None
+    partial: bool = False
+    asked_at: float | None = field(default=None, init=False)
     classify: Callable[[Exception], str] = lambda e: UNKNOWN
     clock: Callable[[], float] = time.time
     sleep: Callable[[float], None] = time.sleep
@@ -99,17 +124,52 @@ class RemoteSource:
         """The answer, asked for if there is none, if it is stale, or if `fresh` demands it."""
         now = self.clock()
         due = self.every is not None and self.answer.at is not None and now - self.answer.at >= self.every
-        if fresh or due or not is_fresh(self.answer, now, self.shelf_life):
+        calm = self.asked_at is not None and now - self.asked_at < self.calm
+        if not calm and (fresh or due or not is_fresh(self.answer, now, self.shelf_life)):
             self._ask()
         return self.answer
 
+    def require(self) -> Any:
+        """The value, or the failure as an exception."""
+        r = self.get()
+        if r.state != VALUE:
+            raise LookupError(r.error or f"no answer: {r.state}")
+        return r.held
+
+    def _so_far(self, value: Any) -> None:
+        self.answer = loading(value, self.clock())
+        self.tally.published += 1
+
+    def _load(self) -> Any:
+        work = (lambda: self.load(self._so_far)) if self.partial else self.load
+        if self.timeout is None:
+            return work()
+        said: queue.Queue = queue.Queue(1)
+
+        def run():
+            try:
+                said.put((work(), None))
+            except Exception as e:  # noqa: BLE001
+                said.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            value, error = said.get(timeout=self.timeout)
+        except queue.Empty:
+            self.tally.called_off += 1
+            raise TimeoutError(f"no answer within {self.timeout} seconds") from None
+        if error is not None:
+            raise error
+        return value
+
     def _ask(self) -> None:
         for attempt in range(self.retries + 1):
             self.tally.asked += 1
+            self.asked_at = self.clock()
             try:
-                value = self.load()
+                value = self._load()
             except Exception as e:  # noqa: BLE001
-                kind = self.classify(e)
+                kind = UNKNOWN if isinstance(e, TimeoutError) else self.classify(e)
                 self.tally.refused += 1
                 self.answer = replace(self.answer, state=FAILED, error=str(e), kind=kind)
                 if kind == PERMANENT or attempt == self.retries:
@@ -127,6 +187,24 @@ class RemoteSource:
         self.answer = Remote(VALUE, value, at)
 
 
+def fresh(source: RemoteSource) -> Remote:
+    """The source's answer if it is fresh, else an empty one that keeps what is held."""
+    r = source.answer
+    return r if is_fresh(r, source.clock(), source.shelf_life) else replace(r, state=EMPTY)
+
+
+def arrival_of(source: RemoteSource, seconds: float = 60.0, pause: float = 0.05) -> Any:
+    """Ask until a value lands, and give it; LookupError at once where asking is refused for good, TimeoutError where none lands in time."""
+    end = source.clock() + seconds
+    while (r := source.get()).state != VALUE:
+        if r.kind == PERMANENT:
+            raise LookupError(r.error)
+        if source.clock() >= end:
+            raise TimeoutError("no answer landed in time")
+        source.sleep(pause)
+    return r.held
+
+
 class Questions:
     """One source for each key; the least recently used beyond `most` are let go."""
 

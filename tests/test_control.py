@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from keelson.cells import Derived, Family, Port, Watch, batch, journal, untracked
-from keelson.commands import Command, when
+from keelson.commands import Command, Whenever, when
 from keelson.functions.expr import field
 from keelson.plans.builder import from_
 from keelson.sources.loader import Kept, load_keys
@@ -164,3 +164,17 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         running.checkpointed(SimpleNamespace(sparkSession=session))
+
+
+def test_whenever_a_test_turns_true():
+    state, calls = [False], []
+    w = Whenever(lambda: state[0], lambda: calls.append(1))
+    assert not w.look()
+    state[0] = True
+    assert w.look() and not w.look() and calls == [1]
+    state[0] = False
+    w.look()
+    state[0] = True
+    w.start(0.01)
+    when(lambda: len(calls) == 2, 5)
+    w.stop()

@@ -2,7 +2,7 @@ import pytest
 
 from keelson.errors import KeyClash
 from keelson.sources.outbox import DONE, SENDING, STUCK, WAITING, Book, Outbox, active, backoff, owed, readable, stuck
-from keelson.sources.remote import FAILED, LOADING, PERMANENT, TEMPORARY, UNKNOWN, VALUE, Questions, Remote, RemoteSource, age_of, first_of, held_of, is_fresh, reconcile, status_of, together
+from keelson.sources.remote import EMPTY, FAILED, LOADING, PERMANENT, TEMPORARY, UNKNOWN, VALUE, Questions, Remote, RemoteSource, age_of, arrival_of, arrived, first_of, fresh, held_of, is_fresh, loading, reconcile, refused, status_of, together
 
 
 class Clock:
@@ -132,3 +132,53 @@ def test_a_moving_target_is_followed_to_its_end():
 def test_kept_envelopes(spark):
     df = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "b"), (2, 1.0, "c"), (2, 5.0, None)], "v int, at double, value string")
     assert [r["value"] for r in readable(df, 2, 10.0, 6.0).collect()] == ["b"]
+
+
+def test_calm_sources_and_what_must_be_there():
+    clock, asked = Clock(), []
+    s = RemoteSource(lambda: asked.append(clock.now) or len(asked), calm=5, shelf_life=1, clock=clock)
+    assert s.require() == 1
+    clock.now = 3
+    assert s.get(fresh=True).held == 1 and fresh(s).state == EMPTY and fresh(s).held == 1
+    clock.now = 5
+    assert s.get().held == 2 and asked == [0.0, 5] and fresh(s).held == 2
+    with pytest.raises(LookupError, match="division"):
+        RemoteSource(lambda: 1 / 0).require()
+
+
+def test_slow_answers_are_of_unknown_outcome():
+    import threading
+
+    wait = threading.Event()
+    s = RemoteSource(wait.wait, timeout=0.05, classify=lambda e: PERMANENT)
+    r = s.get()
+    wait.set()
+    assert (r.state, r.kind, s.tally.called_off) == (FAILED, UNKNOWN, 1)
+    assert RemoteSource(lambda: 7, timeout=5).require() == 7
+    with pytest.raises(LookupError):
+        RemoteSource(lambda: 1 / 0, timeout=5).require()
+
+
+def test_what_is_known_so_far_and_arrivals():
+    seen, tries, clock = [], iter([OSError("a"), 3]), Clock()
+
+    def load(so_far):
+        so_far([1])
+        seen.append((s.answer.state, s.answer.held))
+        return [1, 2]
+
+    s = RemoteSource(load, partial=True)
+    assert s.require() == [1, 2] and seen == [(LOADING, [1])]
+
+    def later():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert arrival_of(RemoteSource(later, clock=clock, sleep=clock.sleep, classify=lambda e: TEMPORARY)) == 3 and clock.naps == [0.05]
+    with pytest.raises(LookupError):
+        arrival_of(RemoteSource(lambda: 1 / 0, classify=lambda e: PERMANENT))
+    with pytest.raises(TimeoutError):
+        arrival_of(RemoteSource(lambda: 1 / 0, clock=clock, sleep=clock.sleep), seconds=1, pause=0.4)
+    assert refused("no", was=arrived(4, 1.0)) == Remote(FAILED, 4, 1.0, "no", UNKNOWN) and loading(2).held == 2
