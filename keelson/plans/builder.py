@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Mapping
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from keelson.functions import folds as f
 from keelson.functions.expr import All, Cmp, Expr, Param, RowFn, field, wrap
@@ -14,6 +14,9 @@ from keelson.functions.expr import All, Cmp, Expr, Param, RowFn, field, wrap
 from .compile import compile_plan
 from .nodes import Agg, Expand, Filter, Join, Node, Pure, Scan, Source, Union
 
+if TYPE_CHECKING:
+    from keelson.streaming.live import Live
+
 _holes = itertools.count(1)
 
 
@@ -100,6 +103,12 @@ class Query:
         """The answer over tables as they are, holes filled from cells and keyword arguments."""
         return compile_plan(self._node, tables, {**self.values(), **values}, verify)
 
+    def live(self, spark: SparkSession, schemas: Mapping[str, Any], folder: str, **values: Any) -> Live:
+        """The answer kept up to date below a folder, over tables that are told of changes; opened again on the folder it goes on."""
+        from keelson.streaming.live import Live
+
+        return Live(spark, self._node, schemas, folder, {**self.values(), **values})
+
 
 def from_(name: str, *key: str) -> Query:
     return Query(Source(name, key))

@@ -135,3 +135,10 @@ def test_counts_and_whole_sums_are_added_to(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(delta, "_semi", lambda *a: 1 / 0)  # no group is read again
     live.apply({"orders": (rows((2, 6), (4, 5)), spark.createDataFrame([(3,)], "id long"))})
     assert sorted(map(tuple, live.rows().collect())) == [(5, 2, 10.0), (6, 1, 6.0)]
+
+
+def test_a_query_is_brought_to_life(spark, tmp_path):
+    rich = ORDERS.filter(field("sum") > param("least"))
+    live = rich.live(spark, SCHEMAS, str(tmp_path), least=10)
+    live.apply({"orders": (spark.createDataFrame([(1, 1, 5.0), (2, 1, 15.0)], SCHEMAS["orders"]), None)})
+    assert [r["id"] for r in rich.live(spark, SCHEMAS, str(tmp_path), least=10).rows().collect()] == [2]
