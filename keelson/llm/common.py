@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from contextlib import contextmanager
 
@@ -52,6 +53,15 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, so that a worker that lives on does not keep the peak of an earlier stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -69,3 +79,4 @@ def in_slices(batches, text: str, most: int = 4 << 20, rows: int = 4096):
                 j += 1
             yield batch.slice(i, j - i)
             i = j
+        trim()

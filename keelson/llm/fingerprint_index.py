@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint_folder, cut, delete, in_slices, tidy
+from .common import as_bytes, checkpoint_folder, cut, delete, in_slices, tidy, trim
 from .word_hashes import mix, rolling, words
 
 SIZE = 20
@@ -356,6 +356,7 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "blob"])
 
         def bucket(t: pa.Table) -> pa.Table:
+            trim()
             kinds, blocks, blobs = (t.column(c).to_pylist() for c in ("kind", "block", "blob"))
             at = t.column("bucket")[0].as_py()
             pick = lambda k: [x for x, kind in zip(blobs, kinds) if kind == k]
@@ -394,6 +395,7 @@ def _apply(docs: DataFrame, removals: DataFrame, shares: int, doc_id: str, text:
     plain = docs.select(*_numbered(docs, shares, doc_id, text), F.col(text).isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)))
 
     def block(d: pa.Table, r: pa.Table) -> pa.Table:
+        trim()
         gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for blob in r.column("blob").to_pylist():
             for i, tag, s, m in zip(*(x.tolist() for x in _unpack(blob, "<i8", "<u4", "<u4", "<u4"))):

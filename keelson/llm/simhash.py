@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, in_slices, tidy
+from .common import as_bytes, cut, in_slices, tidy, trim
 from .word_hashes import mix, rolling
 from .word_hashes import words as word_hashes
 
@@ -363,6 +363,7 @@ def candidates(nodes: DataFrame, many: int, segments: int, radius: int, least: f
     columns, bound = ["fp", "key", "n", *(["group", "counted"] if grouped else [])], Fraction(str(least))
 
     def match(t: pa.Table) -> pa.Table:
+        trim()
         fps, which, key, n, *more = _unpacked(t, "fp", "which", *columns[1:])
         group, counted = more if grouped else (None, None)
         x, y = real_pairs(fps, which, group, segments, radius, n, bound, counted)
