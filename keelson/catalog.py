@@ -557,8 +557,9 @@ def live_changes_since(t):
     "SELECT 'left' AS what, p_partkey FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a) UNION ALL SELECT 'entered', p_partkey FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM b)"
 )
 def window_diff(t):
-    line = views.Ordered(Keyed(t["part"], ("p_partkey",)), down("p_retailprice"))
+    """Equal prices stand by key as text, as in a scan; `Ordered` alone would put numbers in their own order."""
     columns = t["part"].columns
+    line = views.Ordered(Keyed(t["part"].withColumn("_text", F.col("p_partkey").cast("string")), ("p_partkey",)), down("p_retailprice"), up("_text"))
     found = window_changes(line.slice(0, 50).select(*columns), line.slice(20, 70).select(*columns), ["p_partkey"])
     return found.select("what", "row.p_partkey")
 

@@ -34,6 +34,15 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, rows))
 
 
+def test_window_diff_ties_stand_by_key_as_text(spark, tmp_path):
+    """Equal prices lie on both sides of places 20, 50 and 70, with keys of one to three digits."""
+    c = duckdb.connect()
+    c.sql(f"copy (select range as p_partkey, (900 + range % 3)::double as p_retailprice from range(1, 200)) to '{tmp_path}/part.parquet'")
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    found = QUERIES["window_diff"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(c.sql(ORACLE["window_diff"]).fetchall()) and len(found) == 40
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
